@@ -1,0 +1,38 @@
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> documents, or pieces for the last."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import cut, table
+from .decontamination import contamination
+from .neardup import near_duplicates
+from .packing import pack_documents
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the one with the smallest doc_id, and of equal ids one row."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    once = docs.join(kept, "doc_id", "left_semi")
+    return once.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without contamination stay, whole."""
+    marked = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(marked.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from .queries import tokenizer_path
+
+    return pack_documents(docs, tokenizer_path())
