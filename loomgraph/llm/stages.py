@@ -9,10 +9,13 @@ from .common import cut, table
 from .decontamination import contamination
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .toxicity import score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents whose toxicity is predicted 1 go; all others stay as they are."""
+    judged = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return docs.join(judged.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
