@@ -12,6 +12,7 @@ from .language import identify_language
 from .neardup import near_duplicates
 from .neighbours import nearest
 from .packing import pack_documents
+from .repeats import remove_repeats
 from .sharding import shard
 from .toxicity import score_toxicity
 
@@ -45,6 +46,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
