@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table
 from .decontamination import contamination
+from .linededup import dedup_lines
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .toxicity import score_toxicity
@@ -19,7 +20,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All documents stay, without the lines that match an earlier line; n_chars follows the text."""
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        changed = F.col("n_lines_removed") > 0
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
