@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,15 +24,36 @@ from .common import cut, rank_in_class
 
 CAPACITY = 2048
 #: Words that a Python worker remembers the ids of; beyond that it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACED = re.compile("[^ \t\n\r\f\v]+")
 _workers: dict[str, tuple] = {}
 
 
+def _encode(t, words: list[str], known: dict[str, bytes]) -> None:
+    """Ids of new words, many in one call: words stand between bars, whose id none of them can give."""
+    bar = t.encode("|", add_special_tokens=False).ids[0]
+    plain = [w for w in words if "|" not in w]
+    texts = [" | ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
+    done = 0
+    for x in getattr(t, "encode_batch_fast", t.encode_batch)(texts, add_special_tokens=False):
+        ids = np.array(x.ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == bar), len(ids))
+        raw, start = ids.tobytes(), 0
+        for end in ends.tolist():
+            known[plain[done]] = raw[4 * start : 4 * end]
+            done, start = done + 1, end + 1
+    for w in words:
+        if "|" in w:
+            known[w] = np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def _ids_of(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit words. The vocabulary drops white space and never joins across it,
-    so the ids of a text are those of its parts, and each part is looked up once a worker."""
+    """Ids of each text as little-endian 32-bit words.
+
+    The vocabulary drops white space and never joins across it, nor letters with the marks after them, and lower-cases
+    every letter alone; so the ids of a text are those of its lower-cased parts, and a part is encoded once a worker.
+    """
     if path not in _workers:
         import os
 
@@ -42,16 +64,24 @@ def _ids_of(path: str, texts: list[str | None]) -> list[bytes]:
         t.encode_special_tokens = True
         _workers[path] = (t, {})
     t, known = _workers[path]
-    parts = [(_SPACED.findall(x) if _ODD.search(x) else x.split()) if x else [] for x in texts]
+    # the small final sigma depends on its neighbours in Python alone; texts that are not composed are left as they are
+    low = [x.lower() if x and "\u03a3" not in x and unicodedata.is_normalized("NFC", x) else x for x in texts]
+    parts = [(_SPACED.findall(x) if _ODD.search(x) else x.split()) if x else [] for x in low]
     if len(known) > REMEMBERED:
         known.clear()
-    new = list({w for p in parts for w in p if w not in known})
-    encode = getattr(t, "encode_batch_fast", t.encode_batch)
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        for w, e in zip(some, encode(some, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, p)) for p in parts]
+    found = [list(map(known.get, p)) for p in parts]  # the one look-up of most words
+    missing = [[i for i, v in enumerate(f) if v is None] if None in f else () for f in found]
+    new = {p[i] for p, at in zip(parts, missing) for i in at}
+    split = {w: s for w in new if (s := w.rstrip(".,;:!?")) != w and s.isalpha() and "\u0130" not in s}
+    wanted = new.difference(split).union(s for s in split.values() if s not in known)
+    wanted.update(e for w, s in split.items() if (e := w[len(s) :]) not in known)
+    _encode(t, list(wanted), known)
+    for w, s in split.items():
+        known[w] = known[s] + known[w[len(s) :]]
+    for p, f, at in zip(parts, found, missing):
+        for i in at:
+            f[i] = known[p[i]]
+    return [b"".join(f) for f in found]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
