@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _OWN: list[str] = []
+_made: list[str] | None = None
+_old: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made is not None:
+        _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,3 +64,24 @@ def utf8_crc32(text: Column) -> Column:
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`."""
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))
+
+
+def stage(f):
+    """A pipeline stage: its working tables are removed when the next stage starts, which reads the written result."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _made
+        used = docs.inputFiles()
+        for path in [p for p in _old if not any(p.split("://")[-1] in u for u in used)]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _old.remove(path)
+        _made = []
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _old.extend(_made)
+            _made = None
+
+    return run

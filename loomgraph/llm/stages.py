@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 from .decontamination import contamination
 from .linededup import dedup_lines
 from .neardup import near_duplicates
@@ -13,12 +13,14 @@ from .packing import pack_documents
 from .toxicity import score_toxicity
 
 
+@stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is predicted 1 go; all others stay as they are."""
     judged = score_toxicity(docs, table(spark, sf_dir, "labels"))
     return docs.join(judged.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, without the lines that match an earlier line; n_chars follows the text."""
     out = dedup_lines(docs)
@@ -28,6 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@stage
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id, and of equal ids one row."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
@@ -35,12 +38,14 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return once.dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without contamination stay, whole."""
     marked = contamination(docs, table(spark, sf_dir, "benchmark"))
     return docs.join(marked.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from .queries import tokenizer_path
 
