@@ -22,8 +22,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, without the lines that match an earlier line; n_chars follows the text."""
+    """Lines that match an earlier line go, and documents that have no word left because of it; n_chars follows the
+    text. Documents that lose no line stay as they are, blank ones among them."""
     out = dedup_lines(docs)
+    out = out.where((F.col("n_lines_removed") == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
         changed = F.col("n_lines_removed") > 0
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
