@@ -116,8 +116,8 @@ def _edges(near: int):
     """Pairs across the ends of sorted ranges, at most 2 * near rows from each."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(frames))
-        if len(f):
+        all_ = list(frames)
+        if all_ and len(f := pd.concat(all_)):
             f = f.drop_duplicates("k").sort_values("k")
             yield _pairs_of(f["k"].tolist(), f["n"].to_numpy(), f["bits"].tolist(), near)
 

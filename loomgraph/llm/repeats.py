@@ -6,8 +6,7 @@ of their strings to the bucket of their gram. There, bucket-pointer refinement:
 first `HALF` bytes, and buckets are refined by sorting on the bucket identifiers at the offset `HALF` further on,
 which the first pass has already computed. Strings that share a final bucket are repeated.
 
-A very frequent gram is dealt over several tasks; strings that are single in their own part are then compared by hash
-over all parts. Hashes have 64 bits. Equal texts are one class: all of each is removed if it has `LENGTH` bytes.
+A very frequent gram is dealt over several tasks; one string of each final bucket is then compared by hash over all parts. Hashes have 64 bits. Equal texts are one class: all of each is removed if it has `LENGTH` bytes.
 Null and empty texts have no bytes; equal rows are copies of each other; an empty table gives no rows.
 """
 
@@ -120,7 +119,10 @@ def refine(f: pd.DataFrame) -> pd.DataFrame:
     heads = np.flatnonzero(again & ~np.concatenate([[False], joined]))
     tails = np.flatnonzero(again & ~np.concatenate([joined, [False]]))
     out = [pd.DataFrame({"th": th[heads], "a": start[heads], "b": start[tails], "h": None})]
-    alone = np.flatnonzero(~again & (f["parts"].to_numpy()[row] > 1))
+    # of a gram in several parts, one of each kind of string goes on, so that parts learn of each other's
+    one = ~again
+    one[live[np.unique(fine, return_index=True)[1]]] = True
+    alone = np.flatnonzero(one & (f["parts"].to_numpy()[row] > 1))
     if len(alone):
         h = mix(span_hash(sums, at[alone], at[alone] + LENGTH)).view(np.int64)
         out.append(pd.DataFrame({"th": th[alone], "a": start[alone], "b": start[alone], "h": h}))

@@ -6,7 +6,7 @@ Sizes are put into classes (exact to 4096 bytes, then 12 leading bits), of which
 any input; the plan works on classes, and Spark ranks and places the groups.
 
 A group larger than a fair share cannot be divided: it gets a bin of its own and the others share what is left. Null
-texts are one group; an empty table gives no rows; equal rows stay together.
+and empty texts are one group; an empty table gives no rows; equal rows stay together.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"),
         utf8_crc32(F.col("text")).alias("text_crc32"),
-        F.unhex(F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit(""))).alias("g"),
+        F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("g"),
     )
     rows = cut(rows, "sizes")
     total = F.col("total")
