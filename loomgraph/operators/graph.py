@@ -54,7 +54,7 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, nodes: DataFrame | None
     Each level is one join of the frontier with the edges and an anti-join with what has been seen, cut from its
     lineage; targets that are no nodes are skipped if nodes are given. Stops when a level is empty.
     """
-    links = edges.select("src", "dst")
+    links = materialize(edges.select("src", "dst"))  # read again by each level
     seen = materialize(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for level in range(1, depth + 1):
@@ -71,7 +71,7 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, nodes: DataFrame | None
 
 def impact(nodes: DataFrame, edges: DataFrame, root: str, out_depth: int = 4, in_depth: int = 3) -> DataFrame:
     """direction, type, n: what a node reaches and what reaches it by node type, with the risk of the whole."""
-    roots = nodes.where(F.col("id") == root).select("id")
+    roots, edges = nodes.where(F.col("id") == root).select("id"), materialize(edges)
     sides = [("outgoing", bfs(edges, roots, out_depth)), ("incoming", bfs(reversed_edges(edges), roots, in_depth))]
     both = reduce(DataFrame.unionByName, [found.withColumn("direction", F.lit(side)) for side, found in sides])
     counts = both.join(nodes.select("id", "type"), "id").groupBy("direction", "type").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What is read for chunking, and folders that are not.
 CODE_SUFFIXES = ["java", "ts", "html", "yml", "yaml", "properties", "sql"]
-SKIPPED_FOLDERS = ["node_modules", "target", "build", "dist", "__pycache__"]
+SKIPPED_FOLDERS = ["build", "digests", "node_modules", "target", "vector_db", "vscode-extension"]
 
 
 def source_files(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
