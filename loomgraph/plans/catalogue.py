@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import chunking, dialogue, graph, matching, vectors
-from ..session import table
+from ..operators import chunking, codegraph, dialogue, extraction, graph, matching, vectors
+from ..session import materialize, table
 from ..streaming import debounce as quiet
+from . import sources
 from .planner import rule_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,6 +380,97 @@ def top_customers(spark, d):
     return named.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("n_name", "c_custkey", "spent", "rank")
 
 
+def _java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statements and members, parsed once: several rows of a query come from the same parse."""
+    statements = materialize(extraction.java_statements(files))
+    return statements, materialize(extraction.java_members(statements))
+
+
+_SLUG = "lower(regexp_replace({}, '[^A-Za-z0-9]+', '-', 'g'))"
+_ENDPOINTS = f"""endpoints as (select {_SLUG.format('c_mktsegment')} as project, '/api/' || {_SLUG.format('c_mktsegment')} || '/' || c_custkey || '/orders/' || o_orderkey || '/{{id}}' as path,
+ case when o_orderpriority like '1%' then 'POST' else 'GET' end as method, 'Customer' || c_custkey || 'Controller' as controller, 'take' || o_orderkey as handler, 'Order' || o_orderstatus || 'Dto' as response_dto,
+ 'Order ' || o_orderkey || '.' as javadoc, o_orderkey from orders join customer on o_custkey = c_custkey)"""
+_TOPICS = """topics as (select 'user-' || user_id as project, event_type || '-' || (event_id % 50) as topic, case when count(distinct value > 50) > 1 then 'both' when bool_or(value > 50) then 'consumer' else 'producer' end as role from
+ (select user_id, event_type, event_id, coalesce(value, 0) as value from events) group by 1, 2)"""
+
+
+@query(f"with {_ENDPOINTS} select * exclude (o_orderkey) from endpoints")
+def extract_endpoints(spark, d):
+    return extraction.endpoints(_java(sources.controllers(spark, d))[1]).drop("request_dto", "roles", "auth_required")
+
+
+@query(f"""select {_SLUG.format('c_mktsegment')} as project, 'Customer' || c_custkey || 'Controller' as name, 'controller' as bean_type, 'CheckService,Nation' || c_nationkey || 'Service' as dependencies, count(*) as n_methods
+ from orders join customer on o_custkey = c_custkey group by c_mktsegment, c_custkey, c_nationkey""")
+def extract_beans(spark, d):
+    b = extraction.beans(_java(sources.controllers(spark, d))[1])
+    return b.select("project", "name", "bean_type", F.array_join("dependencies", ",").alias("dependencies"), F.size("methods").cast("long").alias("n_methods"))
+
+
+@query("select 'Customer' || o_custkey || 'Controller' as cls, 'take' || o_orderkey as method, 'check.pass,orders.find' as calls from orders join customer on o_custkey = c_custkey")
+def extract_method_calls(spark, d):
+    return extraction.method_calls(*_java(sources.controllers(spark, d))).select("cls", "method", F.array_join("calls", ",").alias("calls"))
+
+
+@query(f"select {_SLUG.format('p_brand')} as project, 'Part' || p_partkey || 'Request' as name, 't_' || p_size as \"table\", 'key,brand' || p_size as fields, 'ManyToOne -> maker' as relationships from part")
+def extract_entities(spark, d):
+    e = extraction.entities(_java(sources.entities(spark, d))[1])
+    return e.select("project", "name", "table", F.array_join("fields", ",").alias("fields"), F.array_join("relationships", ",").alias("relationships"))
+
+
+@query(f"""select {_SLUG.format('p_brand')} as project, 'Part' || p_partkey || 'Request' as dto, unnest(['key', 'brand' || p_size, 'maker']) as name, unnest(['Long', 'String', 'Maker']) as type, unnest([true, false, false]) as required from part""")
+def extract_dto_fields(spark, d):
+    return extraction.dto_fields(_java(sources.entities(spark, d))[1]).select("project", "dto", "name", "type", "required")
+
+
+@query(f"""select {_SLUG.format('n_name')} as project, 's' || s_suppkey as client, 'region-' || n_regionkey as target, 'GET' as method, '/orders/' || l_orderkey || '/{{line}}' as path, 'LineDto' as response_dto
+ from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey""")
+def extract_client_calls(spark, d):
+    m = _java(sources.clients(spark, d))[1]
+    return extraction.client_calls(m, sources.settings(spark, d)).select("project", "client", "target", "method", "path", "response_dto")
+
+
+def _topics(spark, d):
+    none = sources.settings(spark, d).limit(0)
+    return extraction.topics(*_java(sources.listeners(spark, d)), none)
+
+
+@query(f"with {_TOPICS} select project, topic, role from topics")
+def extract_topics(spark, d):
+    return _topics(spark, d).select("project", "topic", "role")
+
+
+@query(f"""with {_TOPICS} select topic, coalesce(string_agg(project, ',' order by project) filter (role <> 'consumer'), '') as producers, coalesce(string_agg(project, ',' order by project) filter (role <> 'producer'), '') as consumers from topics group by topic""")
+def code_event_flow(spark, d):
+    return codegraph.event_flow(_topics(spark, d)).select("topic", F.array_join("producers", ",").alias("producers"), F.array_join("consumers", ",").alias("consumers"))
+
+
+@query("""select 'V' || o_custkey || '__orders.sql' as file, count(distinct o_orderstatus) as n_tables, least(count(*), 6) as n_columns, 'c' || min(o_orderkey) || ':text' as first_column from orders group by o_custkey""")
+def extract_migrations(spark, d):
+    m = extraction.migrations(sources.migrations(spark, d))
+    return m.select("file", F.size("tables").cast("long").alias("n_tables"), F.size("columns").cast("long").alias("n_columns"), F.element_at("columns", 1).alias("first_column"))
+
+
+@query(f"""with {_ENDPOINTS} select distinct 'bean::' || {_SLUG.format('n_name')} || '::s' || s_suppkey as src, 'endpoint::' || project || '::GET::' || path as dst, 'GET /orders/' || l_orderkey || '/*' as label
+ from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join endpoints on o_orderkey = l_orderkey where method = 'GET'""")
+def code_client_edges(spark, d):
+    calls = extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d))
+    c = _java(sources.controllers(spark, d))[1]
+    return codegraph.client_edges(calls, extraction.endpoints(c), extraction.beans(c)).select("src", "dst", "label")
+
+
+@query(f"with {_ENDPOINTS} select 'endpoint::' || project || '::' || method || '::' || path as src, 'bean::' || project || '::' || controller as dst from endpoints")
+def code_handled_by(spark, d):
+    c = _java(sources.controllers(spark, d))[1]
+    return codegraph.handled_by(extraction.endpoints(c), extraction.beans(c)).select("src", "dst")
+
+
+@query(f"""select {_SLUG.format('n_name')} as project, 'region-' || n_regionkey as targets from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by all""")
+def code_service_dependencies(spark, d):
+    calls = extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d))
+    none = _topics(spark, d).limit(0)
+    return codegraph.service_dependencies(calls, none).select("project", F.array_join("targets", ",").alias("targets"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
