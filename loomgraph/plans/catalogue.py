@@ -453,9 +453,9 @@ def extract_migrations(spark, d):
 @query(f"""with {_ENDPOINTS} select distinct 'bean::' || {_SLUG.format('n_name')} || '::s' || s_suppkey as src, 'endpoint::' || project || '::GET::' || path as dst, 'GET /orders/' || l_orderkey || '/*' as label
  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join endpoints on o_orderkey = l_orderkey where method = 'GET'""")
 def code_client_edges(spark, d):
-    calls = extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d))
+    calls = materialize(extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d)))
     c = _java(sources.controllers(spark, d))[1]
-    return codegraph.client_edges(calls, extraction.endpoints(c), extraction.beans(c)).select("src", "dst", "label")
+    return codegraph.client_edges(calls, materialize(extraction.endpoints(c)), materialize(extraction.beans(c))).select("src", "dst", "label")
 
 
 @query(f"with {_ENDPOINTS} select 'endpoint::' || project || '::' || method || '::' || path as src, 'bean::' || project || '::' || controller as dst from endpoints")
