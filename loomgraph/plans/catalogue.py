@@ -386,8 +386,8 @@ def _java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return statements, materialize(extraction.java_members(statements))
 
 
-_SLUG = "lower(regexp_replace({}, '[^A-Za-z0-9]+', '-', 'g'))"
-_ENDPOINTS = f"""endpoints as (select {_SLUG.format('c_mktsegment')} as project, '/api/' || {_SLUG.format('c_mktsegment')} || '/' || c_custkey || '/orders/' || o_orderkey || '/{{id}}' as path,
+_SLUG_SQL = "lower(regexp_replace({}, '[^A-Za-z0-9]+', '-', 'g'))"
+_ENDPOINTS = f"""endpoints as (select {_SLUG_SQL.format('c_mktsegment')} as project, '/api/' || {_SLUG_SQL.format('c_mktsegment')} || '/' || c_custkey || '/orders/' || o_orderkey || '/{{id}}' as path,
  case when o_orderpriority like '1%' then 'POST' else 'GET' end as method, 'Customer' || c_custkey || 'Controller' as controller, 'take' || o_orderkey as handler, 'Order' || o_orderstatus || 'Dto' as response_dto,
  'Order ' || o_orderkey || '.' as javadoc, o_orderkey from orders join customer on o_custkey = c_custkey)"""
 _TOPICS = """topics as (select 'user-' || user_id as project, event_type || '-' || (event_id % 50) as topic, case when count(distinct value > 50) > 1 then 'both' when bool_or(value > 50) then 'consumer' else 'producer' end as role from
@@ -399,7 +399,7 @@ def extract_endpoints(spark, d):
     return extraction.endpoints(_java(sources.controllers(spark, d))[1]).drop("request_dto", "roles", "auth_required")
 
 
-@query(f"""select {_SLUG.format('c_mktsegment')} as project, 'Customer' || c_custkey || 'Controller' as name, 'controller' as bean_type, 'CheckService,Nation' || c_nationkey || 'Service' as dependencies, count(*) as n_methods
+@query(f"""select {_SLUG_SQL.format('c_mktsegment')} as project, 'Customer' || c_custkey || 'Controller' as name, 'controller' as bean_type, 'CheckService,Nation' || c_nationkey || 'Service' as dependencies, count(*) as n_methods
  from orders join customer on o_custkey = c_custkey group by c_mktsegment, c_custkey, c_nationkey""")
 def extract_beans(spark, d):
     b = extraction.beans(_java(sources.controllers(spark, d))[1])
@@ -411,18 +411,18 @@ def extract_method_calls(spark, d):
     return extraction.method_calls(*_java(sources.controllers(spark, d))).select("cls", "method", F.array_join("calls", ",").alias("calls"))
 
 
-@query(f"select {_SLUG.format('p_brand')} as project, 'Part' || p_partkey || 'Request' as name, 't_' || p_size as \"table\", 'key,brand' || p_size as fields, 'ManyToOne -> maker' as relationships from part")
+@query(f"select {_SLUG_SQL.format('p_brand')} as project, 'Part' || p_partkey || 'Request' as name, 't_' || p_size as \"table\", 'key,brand' || p_size as fields, 'ManyToOne -> maker' as relationships from part")
 def extract_entities(spark, d):
     e = extraction.entities(_java(sources.entities(spark, d))[1])
     return e.select("project", "name", "table", F.array_join("fields", ",").alias("fields"), F.array_join("relationships", ",").alias("relationships"))
 
 
-@query(f"""select {_SLUG.format('p_brand')} as project, 'Part' || p_partkey || 'Request' as dto, unnest(['key', 'brand' || p_size, 'maker']) as name, unnest(['Long', 'String', 'Maker']) as type, unnest([true, false, false]) as required from part""")
+@query(f"""select {_SLUG_SQL.format('p_brand')} as project, 'Part' || p_partkey || 'Request' as dto, unnest(['key', 'brand' || p_size, 'maker']) as name, unnest(['Long', 'String', 'Maker']) as type, unnest([true, false, false]) as required from part""")
 def extract_dto_fields(spark, d):
     return extraction.dto_fields(_java(sources.entities(spark, d))[1]).select("project", "dto", "name", "type", "required")
 
 
-@query(f"""select {_SLUG.format('n_name')} as project, 's' || s_suppkey as client, 'region-' || n_regionkey as target, 'GET' as method, '/orders/' || l_orderkey || '/{{line}}' as path, 'LineDto' as response_dto
+@query(f"""select {_SLUG_SQL.format('n_name')} as project, 's' || s_suppkey as client, 'region-' || n_regionkey as target, 'GET' as method, '/orders/' || l_orderkey || '/{{line}}' as path, 'LineDto' as response_dto
  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey""")
 def extract_client_calls(spark, d):
     m = _java(sources.clients(spark, d))[1]
@@ -450,7 +450,7 @@ def extract_migrations(spark, d):
     return m.select("file", F.size("tables").cast("long").alias("n_tables"), F.size("columns").cast("long").alias("n_columns"), F.element_at("columns", 1).alias("first_column"))
 
 
-@query(f"""with {_ENDPOINTS} select distinct 'bean::' || {_SLUG.format('n_name')} || '::s' || s_suppkey as src, 'endpoint::' || project || '::GET::' || path as dst, 'GET /orders/' || l_orderkey || '/*' as label
+@query(f"""with {_ENDPOINTS} select distinct 'bean::' || {_SLUG_SQL.format('n_name')} || '::s' || s_suppkey as src, 'endpoint::' || project || '::GET::' || path as dst, 'GET /orders/' || l_orderkey || '/*' as label
  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join endpoints on o_orderkey = l_orderkey where method = 'GET'""")
 def code_client_edges(spark, d):
     calls = materialize(extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d)))
@@ -464,7 +464,7 @@ def code_handled_by(spark, d):
     return codegraph.handled_by(extraction.endpoints(c), extraction.beans(c)).select("src", "dst")
 
 
-@query(f"""select {_SLUG.format('n_name')} as project, 'region-' || n_regionkey as targets from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by all""")
+@query(f"""select {_SLUG_SQL.format('n_name')} as project, 'region-' || n_regionkey as targets from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by all""")
 def code_service_dependencies(spark, d):
     calls = extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d))
     none = _topics(spark, d).limit(0)
