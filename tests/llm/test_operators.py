@@ -169,6 +169,19 @@ def test_katz(docs):
     assert katz_scores(docs.limit(0)).count() == 0
 
 
+def test_lower_latin(spark):
+    """Only A-Z change, whichever character stands beside them."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.linededup import lower_latin
+
+    points = spark.range(1, 0x110000).where("id < 55296 or id > 57343").withColumn("c", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"))
+    text = F.concat(F.lit("aZ"), "c", F.lit("Q"))
+    want = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    wrong = points.where(~lower_latin(text).eqNullSafe(want))
+    assert points.where(F.length("c") == 1).count() > 1_100_000 and wrong.limit(5).collect() == []
+
+
 def test_lines(docs):
     one = unique(docs)
     got = {r.doc_id: r for r in dedup_lines(one).collect()}
