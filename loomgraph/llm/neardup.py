@@ -7,6 +7,10 @@ in sparse regions that is all there is, in dense ones the order itself goes deep
 one bit a minimum and the sizes drop most wrong pairs, and whole shingle sets decide the rest. The first trees join
 what is close in dense regions; the pairs of the other trees are then only needed between different components.
 
+A run of classes with a common prefix of two may be longer than that window. Where it then still holds different
+components, all its classes go a second, exact way: their shingles are ordered by rarity, the rarest of each class
+(prefix filter) are joined by equality, sizes and places drop pairs without loss, and whole sets decide again.
+
 Memory: a task holds one batch of texts, or rows of a sorted range; nothing gathers a group. Null and blank texts have
 no shingles and stay alone; equal rows are one class; an empty table gives no rows.
 """
@@ -27,6 +31,8 @@ from .wordhash import batches, mix, shingles
 HASHES, TREES, DEPTH, NEAR, FIRST_TREES = 128, 32, 8, 3, 3
 #: Bits of two sketches that may differ: at a similarity of 0.75 the mean is 16 of 128, with a deviation of 3.8.
 DIFFERENT = 36
+#: Buckets of shingle counts that order shingles by rarity; postings of one shingle that one part of the join holds.
+BUCKETS, PART = 1 << 20, 2000
 _R = np.random.default_rng(7)
 _FLIP, _FACTOR = _R.integers(0, 1 << 32, HASHES, dtype=np.uint32), _R.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
@@ -93,21 +99,35 @@ def _pairs_of(keys: list[bytes], n: np.ndarray, bits: list[bytes], near: int) ->
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _neighbours(near: int):
+def _runs(keys: list[bytes]) -> pd.DataFrame:
+    """Runs of one label (k) in this batch, with their members (ids); a lone row only where its run may go on outside."""
+    raw = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
+    label = np.ascontiguousarray(raw[:, : 1 + 8])
+    ids = np.ascontiguousarray(raw[:, -8:]).view(">i8").ravel().astype("<i8")
+    starts = np.concatenate([[0], np.flatnonzero((label[1:] != label[:-1]).any(axis=1)) + 1])
+    ends = np.append(starts[1:], len(keys))
+    some = (ends - starts > 1) | (starts == 0) | (ends == len(keys))
+    starts, ends = starts[some], ends[some]
+    return pd.DataFrame({"k": [label[a].tobytes() for a in starts], "n": ends - starts, "ids": [ids[a:b].tolist() for a, b in zip(starts, ends)]})
+
+
+def _neighbours(near: int, runs: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, tail = 0, None
         for f in frames:
             if not len(f):
                 continue
             f = f[["k", "n", "bits"]]
+            if runs:
+                yield _runs(f["k"].tolist()).assign(a=None, b=None, bits=None)
             if head < near:
-                yield f.iloc[: near - head].assign(a=None, b=None)
+                yield f.iloc[: near - head].assign(a=None, b=None, ids=None)
                 head += len(f)
             f = f if tail is None else pd.concat([tail, f])
-            yield _pairs_of(f["k"].tolist(), f["n"].to_numpy(), f["bits"].tolist(), near).assign(k=None, n=None, bits=None)
+            yield _pairs_of(f["k"].tolist(), f["n"].to_numpy(), f["bits"].tolist(), near).assign(k=None, n=None, bits=None, ids=None)
             tail = f.iloc[-near:]
         if tail is not None:
-            yield tail.assign(a=None, b=None)
+            yield tail.assign(a=None, b=None, ids=None)
 
     return run
 
@@ -124,16 +144,81 @@ def _edges(near: int):
     return run
 
 
-def candidates(classes: DataFrame, first: int, last: int, near: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes near each other in one of the trees from `first` to `last`."""
+def candidates(classes: DataFrame, first: int, last: int, near: int, runs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of classes near each other in one of the trees from `first` to `last`, and, if asked for,
+    the members (k, th) of runs that are longer than the window."""
     spark = classes.sparkSession
     rows = classes.select("th", "n", "sig").mapInPandas(_trees(first, last), "k binary, n long, bits binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     ordered = rows.repartitionByRange(parts, "k").sortWithinPartitions("k")
-    schema = "a long, b long, k binary, n long, bits binary"
-    found = cut(ordered.mapInPandas(_neighbours(near), schema).select("a", "b", "k", "n", "bits"), "forest")
-    ends = found.where("k is not null").select("k", "n", "bits").coalesce(1).mapInPandas(_edges(near), "a long, b long")
-    return found.where("a is not null").select("a", "b").unionByName(ends).distinct()
+    schema = "a long, b long, k binary, n long, bits binary, ids array<long>"
+    found = cut(ordered.mapInPandas(_neighbours(near, runs), schema).select("a", "b", "k", "n", "bits", "ids"), "forest")
+    ends = found.where("k is not null and ids is null").select("k", "n", "bits").coalesce(1).mapInPandas(_edges(near), "a long, b long")
+    pairs = found.where("a is not null").select("a", "b").unionByName(ends).distinct()
+    each = found.where("ids is not null")
+    long = each.groupBy("k").agg(F.sum("n").alias("m")).where(F.col("m") > near + 1).select("k")
+    return pairs, each.join(long, "k").select("k", F.explode("ids").alias("th"))
+
+
+def _count_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(BUCKETS, np.int64)
+    for f in frames:
+        texts = f["text"].tolist()
+        for a, b in batches(texts):
+            for x in shingles(texts[a:b]):
+                np.add.at(total, (x & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+
+def _packed(f: pd.DataFrame) -> pd.DataFrame:
+    out, bucket = np.zeros(1 << 14, np.uint8), f["bucket"].to_numpy()
+    out[bucket & (1 << 14) - 1] = f["r"].to_numpy()
+    return pd.DataFrame({"at": [bucket[0] >> 14 << 14], "ranks": [out.tobytes()]})
+
+
+def _prefixes(rank: np.ndarray, percent: int):
+    """The rarest shingles of each text: two similar texts share one of them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = f["text"].tolist()
+            for a, b in batches(texts):
+                for th, c, x in zip(f["th"].iloc[a:b], f["c"].iloc[a:b], shingles(texts[a:b])):
+                    x = x[np.lexsort((x, rank[(x & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
+                    keep = len(x) + (-percent * len(x)) // 100 + 1
+                    yield pd.DataFrame({"th": th, "c": c, "n": len(x), "p": np.arange(keep), "key": x[:keep].view(np.int64)})
+
+    return run
+
+
+def crowded_pairs(runs: DataFrame, component: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """All pairs (a, b) of different components, in runs longer than the window, that can be similar; None if no run
+    holds two components."""
+    runs = cut(runs.join(component.select(F.col("node").alias("th"), "component"), "th", "left").select("k", "th", F.coalesce("component", "th").alias("c")), "runs")
+    mixed = runs.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
+    crowd = cut(runs.join(mixed, "k").select("th", "c").distinct(), "crowd")
+    if crowd.isEmpty():
+        return None
+    texts = cut(texts_of(crowd, classes, docs).join(crowd, "th"), "crowdtexts")
+    counts = texts.mapInPandas(_count_shingles, "bucket long, n long").groupBy("bucket").agg(F.floor(2 * F.log2(F.sum("n"))).cast("int").alias("r"))
+    rank = np.zeros(BUCKETS, np.uint8)
+    for row in counts.groupBy(F.shiftright("bucket", 14)).applyInPandas(_packed, "at long, ranks binary").toLocalIterator():  # a byte for each bucket
+        rank[row["at"] : row["at"] + (1 << 14)] = np.frombuffer(row["ranks"], np.uint8)
+    rows = cut(texts.mapInPandas(_prefixes(rank, percent), "th long, c long, n long, p long, key long"), "prefixes")
+    # pairs of different components have one member outside the key's largest one, whose own pairs are never made
+    keys = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
+    keys = keys.agg(F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("all")).where("kinds > 1")
+    keys = keys.select("key", F.col("x.c").alias("main"), F.ceil(F.col("all") / PART).cast("int").alias("parts"))
+    live = cut(rows.join(keys, "key"), "live")
+    x = live.where("c <> main").withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int")).alias("x")
+    y = live.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    once = F.expr("x.c <> y.c and (y.c = y.main or x.th < y.th)")
+    sizes = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    # an overlap of at least percent / (100 + percent) of both sizes must still be possible behind the shared shingle
+    place = F.expr(f"{100 + percent} * (least(x.p, y.p) + least(x.n - x.p, y.n - y.p)) >= {percent} * (x.n + y.n)")
+    pairs = x.join(y, F.expr("x.key = y.key and x.part = y.part") & once & sizes & place)
+    return pairs.select(F.least("x.th", "y.th").alias("a"), F.greatest("x.th", "y.th").alias("b")).distinct()
 
 
 def _verify(percent: int):
@@ -153,16 +238,20 @@ def _verify(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    texts = (
+def texts_of(used: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """th, text of the classes in used(th)."""
+    return (
         docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
         .join(classes.join(used, "th", "left_semi").select(F.col("rep").alias("doc_id"), "th"), ["doc_id", "th"], "left_semi")
         .dropDuplicates(["th"])
         .select("th", "text")
     )
-    texts = cut(texts, "texts")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    texts = cut(texts_of(used, classes, docs), "texts")
     with_a = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInPandas(_verify(percent), "a long, b long")
@@ -178,15 +267,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     signed = cut(signed, "signed")
     some = signed.where("n > 0")
     classes = cut(some.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.first("sig").alias("sig")).select("n", "d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("th"), "sig"), "classes")
-    linked = cut(confirmed(cut(candidates(classes, 0, FIRST_TREES, 1), "pairs"), classes, docs, percent), "links")
+    linked = cut(confirmed(cut(candidates(classes, 0, FIRST_TREES, 1)[0], "pairs"), classes, docs, percent), "links")
     once = cut(connected_components(linked), "once")
-    rest = candidates(classes, FIRST_TREES, TREES, NEAR)
+    rest, runs = candidates(classes, FIRST_TREES, TREES, NEAR, runs=True)
     for x in "ab":
         rest = rest.join(once.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = confirmed(cut(rest, "pairs"), classes, docs, percent)
     links = once.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     whole = cut(connected_components(links), "whole")
+    crowded = crowded_pairs(runs, whole, classes, docs, percent)
+    if crowded is not None:
+        more = confirmed(cut(crowded, "pairs"), classes, docs, percent)
+        links = whole.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        whole = cut(connected_components(links), "whole")
     named = classes.select("n", "d1", "d2", "rep", "th").join(whole.withColumnRenamed("node", "th"), "th", "left")
     named = named.withColumn("component", F.coalesce("component", "th"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))

@@ -87,6 +87,16 @@ def test_near_duplicates(docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """Documents that share a boilerplate with many others are still linked to each other."""
+    r = random.Random(4)
+    fresh = lambda n: " ".join(f"w{r.randrange(1 << 40)}" for _ in range(n))
+    shared = fresh(64)
+    rows = [(i, f"{shared} {fresh(30)}") for i in range(8000)] + [(10_000 + i, f"{shared} {fresh(8)}") for i in range(20)]
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: min(i, 10_000) for i, _ in rows}
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
