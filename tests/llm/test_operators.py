@@ -179,6 +179,14 @@ def test_katz(docs):
     assert katz_scores(docs.limit(0)).count() == 0
 
 
+def test_katz_has_no_size_switch(spark, docs, monkeypatch):
+    """Every word keeps its own count, however many words there are."""
+    want = {r.doc_id: r.score for r in katz_scores(unique(docs)).collect()}
+    monkeypatch.setattr(katz, "FREQUENT", 20, raising=False)
+    got = {r.doc_id: r.score for r in katz_scores(unique(docs)).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_lower_latin(spark):
     """Only A-Z change, whichever character stands beside them."""
     from pyspark.sql import functions as F
