@@ -2,7 +2,8 @@
 
 A disguised token (leetspeak, inserted marks, letters spaced out or repeated) is a lattice of characters: each symbol
 stands for itself, for the letters it imitates, or for nothing. Viterbi decoding under a character trigram model,
-counted over all documents, picks the likeliest reading. Plain words have one reading only and are not decoded.
+counted over all documents, picks the likeliest reading. Plain words have one reading only and are not decoded. In runs of
+letters spaced out and in words chained by marks, a blank or mark may also end a word; long ones are read in windows.
 
 The score is a logistic function of how many restored words carry strong evidence. Evidence is the log ratio of document
 shares of a word or a word's beginning, counted over at most `LABELLED` labelled documents (those with the smallest
@@ -28,6 +29,8 @@ from .common import cut, id_remainder
 from .wordhash import batches
 
 LABELLED, EVIDENCE, REMEMBERED = 20_000, 20_000, 400_000
+#: Up to so many characters a token is read as one word too; characters of a window, and those it shares with the next.
+WHOLE, WINDOW, SHARED = 64, 256, 96
 #: What a symbol may stand for besides itself.
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t", "|": "li", "(": "c", "€": "e", "£": "l"}
 #: What may be inserted between letters.
@@ -35,6 +38,8 @@ MARKS = frozenset(" .-_*~'`^/\\,:;#=")
 COST_SWAP, COST_DROP, COST_REPEAT = 0.7, 0.5, 1.0
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”…-_*#%&|/\\"
 _ODD = re.compile(r"[^\W\d_][^\w\s]+\w|\w[^\w\s]+[^\W\d_]|[^\W\d_][\d_]|[\d_][^\W\d_]|[@$!€£+|(]\w|\w[@$!€£+|]|(\w)\1\1")
+#: Words may be chained: a mark inside, and more letters than a disguised word has without it.
+_CHAIN = re.compile(r"\w\w[.\-_*~'`^/\\,:;#=]+\w\w|(?:\w[.\-_*~'`^/\\,:;#=]+){5}\w")
 _SYMBOLS = 28
 
 
@@ -72,8 +77,9 @@ class Channel:
         table = table.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
         self.cost = -np.log(table / table.sum(axis=2, keepdims=True))
 
-    def restore(self, token: str) -> str:
-        """The likeliest letters behind a token; states are the last two symbols and the last character."""
+    def restore(self, token: str, divide: bool = False) -> str:
+        """The likeliest letters behind a token; states are the last two symbols and the last character. With divide,
+        marks may also be blanks between words."""
         best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
         for i, c in enumerate(token):
             then: dict[tuple[int, int, str], tuple[float, str]] = {}
@@ -88,6 +94,11 @@ class Channel:
                     if key not in then or total < then[key][0]:
                         then[key] = (total, out + x)
                 drop = COST_REPEAT if any(x == last for x, _ in arcs) and last else COST_DROP if not c.isalnum() and (c in MARKS or not arcs) else None
+                if divide and c in MARKS and last not in ("", " "):
+                    key = (q, 0, " ")
+                    total = cost + COST_DROP + float(self.cost[p, q, 0])
+                    if key not in then or total < then[key][0]:
+                        then[key] = (total, out + " ")
                 if drop is not None:
                     key = (p, q, last)
                     if key not in then or cost + drop < then[key][0]:
@@ -96,8 +107,18 @@ class Channel:
         return min((cost + float(self.cost[p, q, 0]), out) for (p, q, _), (cost, out) in best.items())[1]
 
 
+    def divided(self, token: str) -> list[str]:
+        """The words behind a token of any length; a word that a window cuts off is read in the next one."""
+        out: list[str] = []
+        for at in range(0, max(len(token) - SHARED, 1), WINDOW - SHARED):
+            found = self.restore(token[at : at + WINDOW], divide=True).split()
+            last = at + WINDOW >= len(token)
+            out += found if at == 0 and (last or len(found) == 1) else found[at > 0 : None if last else -1]
+        return out
+
+
 def tokens(text: str | None) -> set[str]:
-    """Distinct lower-case words, with letters spaced out by blanks as one word."""
+    """Distinct lower-case words, with letters spaced out by blanks as one token."""
     if not text:
         return set()
     words = text.lower().split()
@@ -107,7 +128,7 @@ def tokens(text: str | None) -> set[str]:
     for i, at in enumerate(ones):
         run.append(words[at])
         if i + 1 == len(ones) or ones[i + 1] != at + 1:
-            if 4 <= len(run) <= 24 and sum(x.isalpha() for x in run) > len(run) // 2:
+            if len(run) >= 3 and sum(x.isalpha() for x in run) > len(run) // 2:
                 out.add(" ".join(run))
             run = []
     return out
@@ -117,14 +138,27 @@ class Reader:
     """Evidence of tokens, remembered by a worker."""
 
     def __init__(self, counts: dict[int, int], weights: dict[str, float]):
-        self.channel, self.weights, self.known = Channel(counts), weights, {}
+        self.channel, self.weights, self.known, self.inside = Channel(counts), weights, {}, {}
 
     def readings(self, token: str) -> list[str]:
         plain = token.strip(_EDGE)
-        if len(token) > 64 or not (" " in token or _ODD.search(token)) or not any(c.isalpha() for c in token):
+        if not (" " in token or _ODD.search(token)) or not any(c.isalpha() for c in token):
             return [plain]
+        if len(token) > WHOLE:
+            return [plain, *self.channel.divided(token)[:1]]
         return [plain, self.channel.restore(token), self.channel.restore(plain)]
 
+    def tokens(self, text: str | None) -> set[str]:
+        """The tokens of a text, and the words of those that may hold several."""
+        out = tokens(text)
+        for token in [t for t in out if " " in t or _CHAIN.search(t)]:
+            if token not in self.inside:
+                if len(self.inside) > REMEMBERED // 10:
+                    self.inside.clear()
+                self.inside[token] = [w for w in self.channel.divided(token) if len(w) > 2]
+            out.update(self.inside[token])
+        return out
+
     def entries(self, token: str) -> set[str]:
         out: set[str] = set()
         for w in self.readings(token):
@@ -141,7 +175,7 @@ class Reader:
         return self.known[token]
 
     def evidence(self, text: str | None) -> list[float]:
-        some = sorted((w for w in map(self.weight, tokens(text)) if w > 1.5), reverse=True)
+        some = sorted((w for w in map(self.weight, self.tokens(text)) if w > 1.5), reverse=True)
         return [some[0] if some else 0.0, sum(some[:3]), math.log1p(sum(w > 4 for w in some)), math.log1p(len(some)), math.log1p(len(text or "")) / 4]
 
 
@@ -178,7 +212,7 @@ def _count_entries(counts: dict[int, int], wanted: set[str] | None):
         for f in frames:
             for text, y in zip(f["text"], f["y"]):
                 mine: set[str] = set()
-                for t in tokens(text):
+                for t in reader.tokens(text):
                     if t not in reader.known:
                         e = reader.entries(t)
                         if len(reader.known) > REMEMBERED:

@@ -21,7 +21,7 @@ from loomgraph.llm.neardup import near_duplicates
 from loomgraph.llm.neighbours import nearest
 from loomgraph.llm.repeats import remove_repeats
 from loomgraph.llm.sharding import shard
-from loomgraph.llm.toxicity import Channel, score_toxicity
+from loomgraph.llm.toxicity import Channel, Reader, score_toxicity
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 R = random.Random(5)
@@ -283,6 +283,20 @@ def test_channel_restores_disguises():
         assert c.restore(seen) == meant
 
 
+def test_toxic_words_in_long_runs_and_chains():
+    counts = collections.Counter()
+    for w in ["you", "and", "idiot", "stupid", "moron", *WORDS] * 50:
+        x = [0] + [ord(c) - 96 for c in w] + [0]
+        counts.update((a * 28 + b) * 28 + c for a, b, c in zip(x, x[1:], x[2:]))
+    weights = {"stupid": 5.0, "idiot": 6.0, "moron": 7.0, "nit": 4.0}
+    reader = Reader(counts, weights)
+    for n in (1, 5, 40):  # in one window and in many
+        spaced = " ".join("youstupididiotandamoron" * n)
+        for text in (spaced, "_".join(["you", "stupid", "idiot", "and", "a", "moron"] * n), ".".join("youstupididiotandamoron" * n)):
+            assert reader.evidence(text)[1] == 18.0
+    assert reader.evidence("you n i t")[0] == 4.0
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     v = r.normal(size=(300, 8)).astype(np.float32)
