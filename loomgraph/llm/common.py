@@ -39,6 +39,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(doc_id: Column) -> Column:
+    """A number for the id that is never null; rows are told apart by it and a hash of their text."""
+    return F.coalesce(doc_id, F.lit(-(1 << 63)))
+
+
 def rank_in_class(df: DataFrame, cls: str, order: list[str], buckets: int = 64) -> DataFrame:
     """Add `rank`, gapless from 0 within each value of `cls`, without bringing a whole class into one task.
 

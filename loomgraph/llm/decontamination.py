@@ -43,6 +43,11 @@ def windows(benchmark: DataFrame, width: int) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, k: int = 8, share: int = 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words)."""
+    return contamination_rows(docs, benchmark, width, k, share).drop("th")
+
+
+def contamination_rows(docs: DataFrame, benchmark: DataFrame, width: int = 13, k: int = 8, share: int = 20) -> DataFrame:
+    """contamination with th, the hash of the text."""
     span = width - k + 1
     wins = cut(windows(benchmark, width), "windows")
     prints = wins.where(F.col("len") == width).select(F.explode(F.expr(f"array(array_min({_grams('words', k)}))")).alias("fp")).distinct()
@@ -75,6 +80,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, k: int
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        "doc_id", "th", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"),
     )

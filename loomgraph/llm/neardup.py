@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_key
 from .components import connected_components
 from .wordhash import batches, mix, shingles
 
@@ -241,8 +241,8 @@ def _verify(percent: int):
 def texts_of(used: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """th, text of the classes in used(th)."""
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-        .join(classes.join(used, "th", "left_semi").select(F.col("rep").alias("doc_id"), "th"), ["doc_id", "th"], "left_semi")
+        docs.select(row_key(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), "text")
+        .join(classes.join(used, "th", "left_semi").select(row_key(F.col("rep")).alias("d"), "th"), ["d", "th"], "left_semi")
         .dropDuplicates(["th"])
         .select("th", "text")
     )
@@ -260,13 +260,19 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
-    Two documents are linked if their five-word shingle sets have 100 * intersection >= percent * union.
+    Two documents are linked if their five-word shingle sets have 100 * intersection >= percent * union. A null id is
+    component_id only where no row of the component has an id.
     """
+    return near_duplicate_rows(docs, percent).drop("th")
+
+
+def near_duplicate_rows(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """near_duplicates with th, the hash of the text: of each component one (doc_id, th) is kept."""
     docs = docs.select("doc_id", "text")
     signed = docs.withColumn("th", F.xxhash64("text")).mapInPandas(_sign, "doc_id long, th long, n long, d1 long, d2 long, sig binary")
     signed = cut(signed, "signed")
     some = signed.where("n > 0")
-    classes = cut(some.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.first("sig").alias("sig")).select("n", "d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("th"), "sig"), "classes")
+    classes = cut(some.groupBy("n", "d1", "d2").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("x"), F.first("sig").alias("sig")).select("n", "d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("th"), "sig"), "classes")
     linked = cut(confirmed(cut(candidates(classes, 0, FIRST_TREES, 1)[0], "pairs"), classes, docs, percent), "links")
     once = cut(connected_components(linked), "once")
     rest, runs = candidates(classes, FIRST_TREES, TREES, NEAR, runs=True)
@@ -283,8 +289,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         whole = cut(connected_components(links), "whole")
     named = classes.select("n", "d1", "d2", "rep", "th").join(whole.withColumnRenamed("node", "th"), "th", "left")
     named = named.withColumn("component", F.coalesce("component", "th"))
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component").select("n", "d1", "d2", "least")
-    out = some.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("doc_id", "n", "least")
-    out = out.unionByName(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("least")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), (F.col("doc_id") == F.col("least")).alias("kept"))
+    least = named.groupBy("component").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "th")).alias("least"))
+    named = named.join(least, "component").select("n", "d1", "d2", F.col("least.rep").alias("least"), F.col("least.th").alias("lh"))
+    out = some.select("doc_id", "th", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("doc_id", "th", "n", "least", "lh")
+    out = out.unionByName(signed.where("n = 0").select("doc_id", "th", "n", F.col("doc_id").alias("least"), F.col("th").alias("lh")))
+    kept = F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("th") == F.col("lh"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), kept.alias("kept"))

@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
-from .decontamination import contamination
+from .common import cut, row_key, stage, table
+from .decontamination import contamination_rows
 from .linededup import dedup_lines
-from .neardup import near_duplicates
+from .neardup import near_duplicate_rows
 from .packing import pack_documents
-from .toxicity import score_toxicity
+from .toxicity import toxicity_rows
+
+
+def _marked(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The documents that rows(doc_id, th) names, or the others; null ids are compared like any other."""
+    rows = rows.select(row_key(F.col("doc_id")).alias("__d"), F.col("th").alias("__th")).distinct()
+    return docs.withColumns({"__d": row_key(F.col("doc_id")), "__th": F.xxhash64("text")}).join(rows, ["__d", "__th"], how)
 
 
 @stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is predicted 1 go; all others stay as they are."""
-    judged = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.join(judged.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    judged = toxicity_rows(docs, table(spark, sf_dir, "labels"))
+    return _marked(docs, judged.where("predicted = 1"), "left_anti").select(*docs.columns)
 
 
 @stage
@@ -34,17 +40,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id, and of equal ids one row."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each near-duplicate group stays: the one with the smallest doc_id (null ids last), one row of those
+    with its id and text. Documents without words all stay."""
+    kept = cut(near_duplicate_rows(docs).where("kept").select("doc_id", "th", "n_shingles"), "kept")
+    once = _marked(docs, kept.where("n_shingles > 0"), "left_semi").dropDuplicates(["__d", "__th"])
+    return once.unionByName(_marked(docs, kept.where("n_shingles = 0"), "left_semi")).select(*docs.columns)
 
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without contamination stay, whole."""
-    marked = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(marked.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = contamination_rows(docs, table(spark, sf_dir, "benchmark"))
+    return _marked(docs, found.where("contaminated"), "left_anti").select(*docs.columns)
 
 
 @stage

@@ -228,6 +228,11 @@ def _count_entries(counts: dict[int, int], wanted: set[str] | None):
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, toxic) -> doc_id, held_out, score, predicted."""
+    return toxicity_rows(docs, labels, fold).drop("th")
+
+
+def toxicity_rows(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
+    """score_toxicity with th, the hash of the text."""
     counts = {r["code"]: r["n"] for r in count_trigrams(docs).collect()}  # at most 28**3 rows
     chosen = labels.where(id_remainder(F.col("doc_id"), fold) != 0).where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
@@ -269,7 +274,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFra
         for f in frames:
             x = np.array([reader.evidence(t) for t in f["text"]]).reshape(len(f), 5)
             p = 1 / (1 + np.exp(-np.clip(x @ model[:5] + model[5], -30, 30)))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": p, "predicted": (p >= 0.5).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "th": f["th"], "held_out": f["held_out"], "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
-    rows = docs.select("doc_id", "text", (id_remainder(F.col("doc_id"), fold) == 0).alias("held_out"))
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", (id_remainder(F.col("doc_id"), fold) == 0).alias("held_out"))
+    return rows.mapInPandas(score, "doc_id long, th long, held_out boolean, score double, predicted int")

@@ -312,6 +312,29 @@ def test_neighbours(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    """Rows are decided by id and text: no clean row goes for want of an id, no bad one stays for it."""
+    from loomgraph.llm import stages
+
+    r = random.Random(8)
+    base, item = prose(60, r), prose(20, r)
+    near = base.split()
+    near[30] = "other"
+    texts = [(None, base), (5, base), (4, " ".join(near)), (9, prose(40, r)), (9, prose(40, r)), (None, prose(40, r)), (None, prose(40, r)), (None, None), (3, "")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(stages.minhash_near_dedup(spark, frame(texts), str(tmp_path))) == sorted(texts[2:], key=str)
+    got = {(x.doc_id, x.n_shingles > 0, x.component_id) for x in near_duplicates(frame(texts[:3])).collect()}
+    assert got == {(None, True, 4), (5, True, 4), (4, True, 4)}
+    assert rows(stages.decontamination(spark, frame([*texts, (None, item), (9, item)]), str(tmp_path))) == sorted(texts, key=str)
+    some = [(i, prose(30, r) + (" idiot" if i % 3 == 0 else "")) for i in range(100, 400)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(100, 400)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = stages.toxicity(spark, frame([*some, *texts, (None, texts[3][1] + " idiot"), (9, texts[4][1] + " idiot")]), str(tmp_path))
+    assert rows(left) == sorted([x for x in some if x[0] % 3] + texts, key=str)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
