@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_key
 from .wordhash import batches, mix, running, span_hash
 
 LENGTH, GRAM, HALF = 200, 32, 100
@@ -139,13 +139,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     kept = found.join(shared, "gram").select("th", "s0", "gram", "parts").distinct()
     kept = kept.withColumn("bucket", F.xxhash64("gram", F.pmod(place, F.col("parts"))))
     spots = F.array_sort(F.collect_list(F.struct("s0", "parts", "bucket")))
-    rep = docs.groupBy("th").agg(F.min("doc_id").alias("doc_id"))
+    rep = docs.groupBy("th").agg(F.min(row_key(F.col("doc_id"))).alias("d"))
     wanted = kept.groupBy("th").agg(spots.alias("x")).join(rep, "th")
-    wanted = wanted.select("doc_id", "th", F.col("x.s0").alias("starts"), F.col("x.parts").alias("parts"), F.col("x.bucket").alias("buckets"))
+    wanted = wanted.select("d", "th", F.col("x.s0").alias("starts"), F.col("x.parts").alias("parts"), F.col("x.bucket").alias("buckets"))
     wanted = cut(wanted, "wanted")
     total = wanted.agg(F.sum(F.size("starts"))).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000 + 1)
-    texts = docs.select("doc_id", "th", "text").join(wanted, ["doc_id", "th"]).select("th", "text", "starts", "parts", "buckets")
+    texts = docs.select(row_key(F.col("doc_id")).alias("d"), "th", "text").join(wanted, ["d", "th"]).select("th", "text", "starts", "parts", "buckets")
     texts = texts.mapInPandas(_contexts, "bucket long, th long, parts int, s0 long, bytes binary")
     texts = texts.withColumn("bucket", F.pmod("bucket", F.lit(groups)))
     fine = cut(texts.groupBy("bucket").applyInPandas(refine, "th long, a long, b long, h long"), "ranges")

@@ -238,6 +238,14 @@ def test_repeats(docs, part, monkeypatch):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_texts_without_id(spark):
+    r = random.Random(6)
+    shared = prose(80, r)
+    rows = [(None, f"{prose(30, r)} {shared} {prose(30, r)}"), (1, f"{prose(20, r)} {shared} {prose(9, r)}"), (2, prose(90, r))]
+    got = {x.doc_id: x.n_removed for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[None] == got[1] >= len(shared) and got[2] == 0
+
+
 def test_language_on_held_out_rows(spark, docs):
     r = random.Random(1)
     sounds = {"aa": ["ka", "to", "mi", "ra"], "bb": ["sch", "ung", "ein", "der"], "cc": ["qué", "ño", "los", "ar"]}
