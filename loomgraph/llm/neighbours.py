@@ -5,8 +5,8 @@ tile, rows are scaled to int8 and multiplied; the norms of what the scaling leav
 so every pair that might be among the tile's nearest survives, and only survivors are recomputed in double precision.
 A query's best of each tile are then merged.
 
-Vectors that are null, zero, of another length than the first block's, or hold null or non-finite components take no
-part; an empty table gives no rows; equal scores go to the smaller vec_id. A task holds two blocks of at most
+Vectors that are null, zero, or hold null or non-finite components take no part; the others are searched among those of
+their own length; an empty table gives no rows; equal scores go to the smaller vec_id. A task holds two blocks of at most
 about `ROWS` vectors.
 """
 
@@ -66,9 +66,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rows: int = ROWS)
     """vectors(vec_id, embedding) -> query_id, rank, vec_id, score: for each vec_id divisible by `every`, its k nearest
     others by inner product."""
     good = cut(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))), "vectors")
-    seen = good.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max(F.size("v")).alias("d")).first()
-    cb, qb, dim = -(-seen["n"] // rows) or 1, -(-(seen["q"] or 0) // rows) or 1, seen["d"] or 0
-    good = good.where(F.size("v") == dim)
+    seen = good.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).first()
+    cb, qb = -(-seen["n"] // rows) or 1, -(-(seen["q"] or 0) // rows) or 1
     block = F.xxhash64("vec_id")
     cands = good.select(F.lit(False).alias("is_q"), "vec_id", "v", F.pmod(block, F.lit(cb)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"))
     asks = good.where(F.col("vec_id") % every == 0)
@@ -79,6 +78,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rows: int = ROWS)
         found = tile(q["vec_id"].to_numpy(), np.stack(q["v"]), c["vec_id"].to_numpy(), np.stack(c["v"]), k) if len(q) and len(c) else []
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    both = cands.unionByName(asks).groupBy("c", "q").applyInPandas(run, "query_id long, vec_id long, score double")
+    both = cands.unionByName(asks).groupBy("c", "q", F.size("v")).applyInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -320,6 +320,12 @@ def test_neighbours(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_several_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (20, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0])]
+    got = {(x.query_id, x.rank, x.vec_id) for x in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {(0, 1, 1), (0, 2, 2), (20, 1, 3)}
+
+
 def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     """Rows are decided by id and text: no clean row goes for want of an id, no bad one stays for it."""
     from loomgraph.llm import stages
