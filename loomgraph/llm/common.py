@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 _OWN: list[str] = []
 _made: list[str] | None = None
 _old: list[str] = []
+#: Spark then deletes the shuffle files of a query when it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,23 +22,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where it is unset."""
+    """The folder that the cluster names for checkpoints. A temporary one where it is unset, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
     return _OWN[0]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs neither recompute it nor lose it with an executor."""
+    """Write df to the shared folder and read it back: later jobs neither recompute it nor lose it with an executor.
+
+    The shuffle files behind it are deleted at once, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _made is not None:
         _made.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that `cut` wrote and nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._cut_at)
 
 
 def row_key(doc_id: Column) -> Column:
@@ -79,8 +104,7 @@ def stage(f):
         global _made
         used = docs.inputFiles()
         for path in [p for p in _old if not any(p.split("://")[-1] in u for u in used)]:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
             _old.remove(path)
         _made = []
         try:
