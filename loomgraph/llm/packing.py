@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut, rank_in_class
 
 CAPACITY = 2048
-#: Words that a Python worker remembers the ids of; beyond that it starts afresh.
-REMEMBERED = 600_000
+#: Words of at most `LONGEST` characters that a Python worker remembers the ids of; beyond that it starts afresh.
+REMEMBERED, LONGEST = 600_000, 64
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACED = re.compile("[^ \t\n\r\f\v]+")
 _workers: dict[str, tuple] = {}
@@ -53,6 +53,7 @@ def _ids_of(path: str, texts: list[str | None]) -> list[bytes]:
 
     The vocabulary drops white space and never joins across it, nor letters with the marks after them, and lower-cases
     every letter alone; so the ids of a text are those of its lower-cased parts, and a part is encoded once a worker.
+    A text that may hold one of the vocabulary's added tokens is encoded whole.
     """
     if path not in _workers:
         import os
@@ -61,9 +62,11 @@ def _ids_of(path: str, texts: list[str | None]) -> list[bytes]:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _workers[path] = (t, {})
-    t, known = _workers[path]
+        added = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
+        _workers[path] = (t, {}, added)
+    t, known, added = _workers[path]
+    whole = {i: np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for i, x in enumerate(texts) if x and added.search(x)}
+    texts = ["" if i in whole else x for i, x in enumerate(texts)]
     # the small final sigma depends on its neighbours in Python alone; texts that are not composed are left as they are
     low = [x.lower() if x and "\u03a3" not in x and unicodedata.is_normalized("NFC", x) else x for x in texts]
     parts = [(_SPACED.findall(x) if _ODD.search(x) else x.split()) if x else [] for x in low]
@@ -81,7 +84,10 @@ def _ids_of(path: str, texts: list[str | None]) -> list[bytes]:
     for p, f, at in zip(parts, found, missing):
         for i in at:
             f[i] = known[p[i]]
-    return [b"".join(f) for f in found]
+    for w in wanted | split.keys():
+        if len(w) > LONGEST:
+            del known[w]
+    return [whole.get(i) or b"".join(f) for i, f in enumerate(found)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -13,7 +13,7 @@ PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 
 ODD = [
     "", None, " ", "a|b | |c ||", "Don't we'll THE, the. x's's'", "ΑΣ ΣΑΣ. Σ", "İstanbul İ ǅ", "é Éa ́x", "a\x1cb a b c　d\x85e",
-    "<|endoftext|> <|startoftext|>x", "ñandú, ciónñ; (foo). 3.14 12,5 ½²", "日本語。テキスト 😀👍🏽", "a" * 3000, "x. " * 5000, "KK ſ ẞ",
+    "<|endoftext|> <|startoftext|>x", "hello <|endoftext|> world", "A<|EndOfText|>b", "<|endoftext|>", "<|endoftext |>", "ñandú, ciónñ; (foo). 3.14 12,5 ½²", "日本語。テキスト 😀👍🏽", "a" * 3000, "x. " * 5000, "KK ſ ẞ",
 ]
 
 
@@ -21,7 +21,6 @@ def test_ids_equal_the_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     r = random.Random(3)
     chars = "aAbZ éÉßΣσİı.,;:!?|'\"-\n\t \x1ć12½٣<>ſK"
     texts = ODD + ["".join(r.choice(chars) for _ in range(r.randrange(60))) for _ in range(3000)]
