@@ -2,9 +2,10 @@
 
 A suffix array of sampled positions: each string of `LENGTH` bytes has one anchor, the least `GRAM`-byte hash in it, so
 equal strings have equal anchors. Anchors whose gram occurs once in the corpus are dropped; the others bring the bytes
-of their strings to the bucket of their gram. There, bucket-pointer refinement: strings are put into buckets by their
-first `HALF` bytes, and buckets are refined by sorting on the bucket identifiers at the offset `HALF` further on,
-which the first pass has already computed. Strings that share a final bucket are repeated.
+of their strings to the bucket of their gram. There, bucket-pointer refinement: positions are put into buckets by their
+first `Q` bytes; then, again and again, each bucket that still holds several positions is refined by sorting on the bucket
+identifiers of the offsets its depth further on, as the passes before have updated them, which doubles its depth. Strings
+that share a bucket at the depth of `LENGTH` are repeated.
 
 A very frequent gram is dealt over several tasks; one string of each final bucket is then compared by hash over all parts. Hashes have 64 bits. Equal texts are one class: all of each is removed if it has `LENGTH` bytes.
 Null and empty texts have no bytes; equal rows are copies of each other; an empty table gives no rows.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, row_key
 from .wordhash import batches, mix, running, span_hash
 
-LENGTH, GRAM, HALF = 200, 32, 100
+LENGTH, GRAM, Q = 200, 32, 25
 #: Anchors of one gram that one part holds.
 PART = 2000
 _LOW = np.uint64((1 << 22) - 1)
@@ -106,13 +107,20 @@ def refine(f: pd.DataFrame) -> pd.DataFrame:
     n = sizes - LENGTH + 1
     row = np.repeat(np.arange(len(raw)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
-    halves = np.concatenate([at, at + HALF])
-    bucket = _ranks(span_hash(sums, halves, halves + HALF))
-    here, later = bucket[: len(at)], bucket[len(at) :]
-    live = np.flatnonzero((np.bincount(here)[here] > 1) & (np.bincount(later)[later] > 1))
-    fine = _ranks(here[live] * (bucket.max() + 1) + later[live])
-    again = np.zeros(len(at), bool)
-    again[live] = np.bincount(fine)[fine] > 1 if len(live) else False
+    whole = int(sizes.sum())
+    bucket = _ranks(span_hash(sums, np.arange(whole - Q + 1), np.arange(Q, whole + 1)))
+    room = (np.repeat(first + sizes, sizes) - np.arange(whole))[: len(bucket)]  # bytes of its row from each position on
+    depth, live, name = Q, np.flatnonzero(room >= Q), len(bucket)
+    while depth < LENGTH:
+        live = live[room[live] >= 2 * depth]
+        live = live[np.bincount(bucket[live])[bucket[live]] > 1]
+        pair = bucket[live] * (4 * whole) + bucket[live + depth]
+        bucket[live] = _ranks(pair) + name  # a name is never used again, so passes can read pointers as they are updated
+        name, depth = name + len(live), 2 * depth
+    same = np.bincount(bucket[live])[bucket[live]] > 1
+    shared = np.zeros(whole, bool)
+    shared[live[same]] = True
+    again, fine = shared[at], bucket[at]
     start = f["s0"].to_numpy(np.int64)[row] + at - first[row]
     th = f["th"].to_numpy(np.int64)[row]
     joined = again[1:] & again[:-1] & (row[1:] == row[:-1])
@@ -121,7 +129,7 @@ def refine(f: pd.DataFrame) -> pd.DataFrame:
     out = [pd.DataFrame({"th": th[heads], "a": start[heads], "b": start[tails], "h": None})]
     # of a gram in several parts, one of each kind of string goes on, so that parts learn of each other's
     one = ~again
-    one[live[np.unique(fine, return_index=True)[1]]] = True
+    one[np.unique(fine, return_index=True)[1]] = True
     alone = np.flatnonzero(one & (f["parts"].to_numpy()[row] > 1))
     if len(alone):
         h = mix(span_hash(sums, at[alone], at[alone] + LENGTH)).view(np.int64)
@@ -136,9 +144,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     place = F.xxhash64("th", "s0")
     shared = found.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
     shared = shared.select("gram", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
-    kept = found.join(shared, "gram").select("th", "s0", "gram", "parts").distinct()
-    kept = kept.withColumn("bucket", F.xxhash64("gram", F.pmod(place, F.col("parts"))))
-    spots = F.array_sort(F.collect_list(F.struct("s0", "parts", "bucket")))
+    # equal texts give equal rows, which the set drops before the shuffle; a skewed gram can so be split in the join
+    kept = found.join(shared, "gram").select("th", "s0", "parts", F.xxhash64("gram", F.pmod(place, F.col("parts"))).alias("bucket"))
+    spots = F.array_sort(F.collect_set(F.struct("s0", "parts", "bucket")))
     rep = docs.groupBy("th").agg(F.min(row_key(F.col("doc_id"))).alias("d"))
     wanted = kept.groupBy("th").agg(spots.alias("x")).join(rep, "th")
     wanted = wanted.select("d", "th", F.col("x.s0").alias("starts"), F.col("x.parts").alias("parts"), F.col("x.bucket").alias("buckets"))
