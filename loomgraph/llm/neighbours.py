@@ -1,18 +1,17 @@
 """Exact nearest neighbours by a block matrix join with int8 product tiles.
 
-Vectors are dealt over blocks by a hash of their id; each query block meets each candidate block in one task. Within a
-tile, rows are scaled to int8 and multiplied; the norms of what the scaling leaves out bound the error of each product,
-so every pair that might be among the tile's nearest survives, and only survivors are recomputed in double precision.
-A query's best of each tile are then merged.
+Vectors are dealt over blocks by a hash of their id; each query block meets each candidate block in one task. Blocks
+travel as int8 rows with a scale and the norm of what the scaling leaves out, which bounds the error of each product, so
+every pair that might be among a query's nearest survives. Survivors of all tiles are held against each other by their
+bounds, and what is left is recomputed in double precision on the original vectors, and merged.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; the others are searched among those of
-their own length; an empty table gives no rows; equal scores go to the smaller vec_id. A task holds two blocks of at most
-about `ROWS` vectors.
+their own length; rows of one vec_id are one vector, the least of them; an empty table gives no rows; equal scores go to
+the smaller vec_id. A task holds two blocks of about `ROWS` vectors, an eighth of their size as doubles.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,8 @@ from pyspark.sql.window import Window
 from .common import cut
 
 ROWS = 4096
-#: Queries of a block that are multiplied at once.
-STRIP = 512
+#: Queries of a block that are multiplied at once, and components whose int8 products single precision sums exactly.
+STRIP, EXACT = 512, 1024
 
 
 def usable(v: Column) -> Column:
@@ -35,49 +34,71 @@ def usable(v: Column) -> Column:
 
 
 def int8_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows as int8 values (held as float32, whose products of them are exact), their scale, and the norm left out."""
+    """Rows as int8 values, their scale, and the norm left out."""
     scale = np.abs(x).max(axis=1) / 127
     q = np.rint(x / scale[:, None])
-    return q.astype(np.float32), scale, np.linalg.norm(x - q * scale[:, None], axis=1)
+    return q.astype(np.int8), scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
-def tile(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k best (query, candidate, product) of each query against these candidates."""
-    out = []
-    c8, cs, ce = int8_rows(c)
-    cn = np.linalg.norm(c, axis=1)
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for _, g in f.groupby(f["v"].map(len)):
+            x = np.stack(g["v"])
+            q, scale, left = int8_rows(x)
+            yield pd.DataFrame({"vec_id": g["vec_id"], "size": x.shape[1], "q8": [r.tobytes() for r in q], "scale": scale, "left": left, "norm": np.linalg.norm(x, axis=1)})
+
+
+def products(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of int8 rows; sums of `EXACT` products are exact in single precision."""
+    out = np.zeros((len(x), len(c)))
+    for at in range(0, x.shape[1], EXACT):
+        out += x[:, at : at + EXACT].astype(np.float32) @ c[:, at : at + EXACT].astype(np.float32).T
+    return out
+
+
+def tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, vec_id, low, high): pairs of this tile that may be among a query's k nearest, and their bounds."""
+    found = []
+    c8 = np.frombuffer(b"".join(c["q8"]), np.int8).reshape(len(c), -1)
+    ci, cs, ce, cn = (c[x].to_numpy() for x in ("vec_id", "scale", "left", "norm"))
     for at in range(0, len(q), STRIP):
-        x = q[at : at + STRIP]
-        x8, xs, xe = int8_rows(x)
-        near = (x8 @ c8.T).astype(np.float64) * xs[:, None] * cs
-        bound = (np.linalg.norm(x, axis=1) * (1 + 1e-9))[:, None] * ce + xe[:, None] * (cn + ce) + 1e-12
-        own = qi[at : at + STRIP, None] == ci
+        x = q.iloc[at : at + STRIP]
+        x8 = np.frombuffer(b"".join(x["q8"]), np.int8).reshape(len(x), -1)
+        xi, xs, xe, xn = (x[n].to_numpy()[:, None] for n in ("vec_id", "scale", "left", "norm"))
+        near = products(x8, c8) * xs * cs
+        # what the scaling leaves out, and the rounding of sums in double precision
+        bound = xn * ce + xe * (cn + ce) + 1e-9 * (xn * cn)
+        own = xi == ci
         low = np.where(own, -np.inf, near - bound)
         kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(x), -np.inf)
-        for i, j in enumerate((near + bound >= kth[:, None]) & ~own):
-            j = np.flatnonzero(j)
-            score = (c[j] * x[i]).sum(axis=1)
-            best = heapq.nsmallest(k, zip((-score).tolist(), ci[j].tolist()))
-            out += [(int(qi[at + i]), v, -s) for s, v in best]
-    return out
+        i, j = np.nonzero((near + bound >= kth[:, None]) & ~own)
+        found.append(pd.DataFrame({"query_id": xi[i, 0], "vec_id": ci[j], "low": low[i, j], "high": (near + bound)[i, j]}))
+    return pd.concat(found)
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rows: int = ROWS) -> DataFrame:
     """vectors(vec_id, embedding) -> query_id, rank, vec_id, score: for each vec_id divisible by `every`, its k nearest
     others by inner product."""
-    good = cut(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))), "vectors")
-    seen = good.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).first()
+    good = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    good = cut(good.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    packed = cut(good.mapInPandas(_pack, "vec_id long, size int, q8 binary, scale double, left double, norm double"), "packed")
+    is_q = F.col("vec_id") % every == 0
+    seen = packed.agg(F.count(F.lit(1)).alias("n"), F.sum(is_q.cast("long")).alias("q")).first()
     cb, qb = -(-seen["n"] // rows) or 1, -(-(seen["q"] or 0) // rows) or 1
     block = F.xxhash64("vec_id")
-    cands = good.select(F.lit(False).alias("is_q"), "vec_id", "v", F.pmod(block, F.lit(cb)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"))
-    asks = good.where(F.col("vec_id") % every == 0)
-    asks = asks.select(F.lit(True).alias("is_q"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("c"), F.pmod(block, F.lit(qb)).cast("int").alias("q"))
+    cands = packed.select("*", F.lit(False).alias("is_q"), F.pmod(block, F.lit(cb)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"))
+    asks = packed.where(is_q).select("*", F.lit(True).alias("is_q"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("c"), F.pmod(block, F.lit(qb)).cast("int").alias("q"))
 
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         q, c = f[f["is_q"]], f[~f["is_q"]]
-        found = tile(q["vec_id"].to_numpy(), np.stack(q["v"]), c["vec_id"].to_numpy(), np.stack(c["v"]), k) if len(q) and len(c) else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    both = cands.unionByName(asks).groupBy("c", "q", F.size("v")).applyInPandas(run, "query_id long, vec_id long, score double")
+        return tile(q, c, k) if len(q) and len(c) else pd.DataFrame(columns=["query_id", "vec_id", "low", "high"])
+
+    tiles = cut(cands.unionByName(asks).groupBy("c", "q", "size").applyInPandas(run, "query_id long, vec_id long, low double, high double"), "tiles")
+    worst = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
+    kth = tiles.withColumn("nth", F.row_number().over(worst)).where(F.col("nth") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).alias("kth"))
+    left = tiles.join(kth, "query_id").where("kth is null or high >= kth").select("query_id", "vec_id")
+    both = left.join(good, "vec_id").join(good.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query_id")
+    score = F.expr("aggregate(zip_with(v, w, (x, y) -> x * y), 0D, (a, x) -> a + x)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    scored = both.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
