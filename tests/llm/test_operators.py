@@ -175,7 +175,8 @@ def test_katz(docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(count[x] > 0 for x in w), total)
         assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (total + types + 1)) for x in w))
         assert r.score == pytest.approx(sum(log(a, b) for a, b in zip([None, *w], w)), rel=1e-5)
-    assert katz_scores(docs).count() == docs.count()
+    twice = docs.unionByName(docs)  # equal blocks are told apart
+    assert katz_scores(twice).count() == 2 * docs.count()
     assert katz_scores(docs.limit(0)).count() == 0
 
 
@@ -318,6 +319,18 @@ def test_neighbours(spark):
         best = sorted((-round(scores[q, j], 9), j) for j in range(300) if j != q)[:20]
         assert list(x.sort_values("rank")["vec_id"]) == [j for _, j in best]
     assert nearest(df.limit(0)).count() == 0
+    repeated = nearest(df.unionByName(df), rows=64).toPandas()
+    assert sorted(map(tuple, repeated.values.tolist())) == sorted(map(tuple, got.values.tolist()))
+
+
+def test_wide_neighbours(spark):
+    """Products of more components than single precision sums exactly."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(60, 3000))
+    got = nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).toPandas()
+    for q, x in got.groupby("query_id"):
+        best = sorted((-(v[q] @ v[j]), j) for j in range(60) if j != q)[:20]
+        assert list(x.sort_values("rank")["vec_id"]) == [j for _, j in best]
 
 
 def test_neighbours_of_several_lengths(spark):
