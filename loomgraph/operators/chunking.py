@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import guess_class, guess_method, listed
+
+# Where a method begins in each language.
+JAVA_METHOD = (
+    r"(?:(?:/\*\*[\s\S]*?\*/\s*)?(?:@\w+[^\n]*\n\s*)*(?:public|private|protected|static|final|synchronized|abstract)\s+[\w<>\[\],\s]+\s+\w+\s*\([^)]*\)"
+    r"(?:\s+throws\s+[\w,\s]+)?\s*\{)"
+)
+SCRIPT_METHOD = (
+    r"(?:(?:\/\/[^\n]*\n\s*)*)(?:export\s+)?(?:async\s+)?"
+    r"(?:function\s+\w+|(?:public|private|protected|readonly)\s+(?:async\s+)?(?:\w+)\s*\(|(?:\w+)\s*=\s*(?:async\s+)?\()"
+)
+
 
 def char_chunks(docs: DataFrame, window: int = 2000, overlap: int = 200, single: int = 2200) -> DataFrame:
     """docs(doc_id, text) -> doc_id, idx, content: windows of characters; a text of at most `single` stays whole."""
@@ -32,3 +49,61 @@ def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     both = chunks.select("doc_id").join(docs.select("doc_id", "lang", "source"), "doc_id")
     sets = both.groupingSets([[], ["lang"], ["source"]], "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
     return sets.select(F.expr("case g when 3 then 'total' when 1 then 'lang' else 'source' end").alias("level"), F.coalesce("lang", "source", F.lit("all")).alias("key"), "n")
+
+
+def code_pieces(files: DataFrame, window: int = 2000, overlap: int = 200) -> DataFrame:
+    """files(path, text) -> path, idx, content, class_name, method_name: code cut where methods begin, the head whole, long
+    pieces in windows; files of fewer than two methods in windows only. Methods of at most 20 characters are left out."""
+
+    def windows(text: str) -> list[str]:
+        if len(text) <= window + overlap:
+            return [text]
+        last = -(-(len(text) - window) // (window - overlap))
+        return [text[i * (window - overlap) : i * (window - overlap) + window] for i in range(last + 1)]
+
+    def cut(text: str, begins: re.Pattern) -> list[str]:
+        at = [m.start() for m in begins.finditer(text)]
+        if len(at) < 2:
+            return windows(text)
+        methods = [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
+        head = [text[: at[0]]] if text[: at[0]].strip() else []
+        return head + [w for m in methods if len(m.strip()) > 20 for w in windows(m)] or windows(text)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        java, script = re.compile(JAVA_METHOD, re.MULTILINE), re.compile(SCRIPT_METHOD, re.MULTILINE)
+        for f in frames:
+            rows = []
+            for path, text in zip(f["path"].tolist(), f["text"].tolist()):
+                begins = java if path.endswith(".java") else script if path.endswith(".ts") else None
+                pieces = (cut(text, begins) if begins else windows(text)) if text else []
+                rows += [(path, i, piece) for i, piece in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=["path", "idx", "content"])
+
+    pieces = files.select("path", "text").mapInPandas(run, "path string, idx int, content string")
+    return pieces.withColumns({"class_name": guess_class(F.col("content")), "method_name": guess_method(F.col("content"))})
+
+
+def chunk_id(project: Column, kind: Column, name: Column, idx: Column) -> Column:
+    """The same for the same chunk in every run."""
+    return F.sha2(F.concat_ws("::", project, kind, name, idx.cast("string")), 256)
+
+
+def digest_chunks(endpoints: DataFrame | None = None, entities: DataFrame | None = None, beans: DataFrame | None = None, clients: DataFrame | None = None) -> DataFrame:
+    """id, project, type, name, content: facts of each kind as text, in one union."""
+    or_none = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    said = lambda c: F.when(F.col(c), "True").otherwise("False")
+    parts = []
+    if endpoints is not None:
+        text = F.concat_ws("\n", F.format_string("Endpoint %s %s", "method", "path"), F.format_string("controller=%s handler=%s", "controller", "handler"), F.concat(F.lit("request="), or_none("request_dto"), F.lit(" response="), or_none("response_dto")), F.concat(F.lit("auth="), said("auth_required"), F.lit(" roles="), listed(F.col("roles"))), F.when(F.col("javadoc") != "", F.concat(F.lit("doc="), F.col("javadoc"))))
+        parts.append(endpoints.select("project", F.lit("endpoint").alias("type"), F.col("handler").alias("name"), text.alias("content")))
+    if entities is not None:
+        text = F.concat_ws("\n", F.format_string("Entity %s table=%s", "name", "table"), F.concat(F.lit("fields="), listed(F.col("fields"))), F.concat(F.lit("relationships="), listed(F.col("relationships"))))
+        parts.append(entities.select("project", F.lit("entity").alias("type"), "name", text.alias("content")))
+    if beans is not None:
+        text = F.concat_ws("\n", F.format_string("Bean %s type=%s", "name", "bean_type"), F.concat(F.lit("dependencies="), listed(F.col("dependencies"))), F.concat(F.lit("methods="), listed(F.col("methods"))))
+        parts.append(beans.select("project", F.lit("bean").alias("type"), "name", text.alias("content")))
+    if clients is not None:
+        text = F.format_string("Feign %s target=%s\nendpoints:\n  %s %s", "client", "target", "method", "path")
+        parts.append(clients.select("project", F.lit("feign").alias("type"), F.col("client").alias("name"), text.alias("content")))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select(chunk_id(F.col("project"), F.col("type"), F.col("name"), F.lit(0)).alias("id"), "project", "type", "name", "content")

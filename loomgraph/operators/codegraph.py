@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import dedup_edges
 from .matching import first_match, path_suffixes
 
 
@@ -75,14 +78,14 @@ def calls_to_endpoints(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 def client_edges(calls: DataFrame, endpoints: DataFrame, beans: DataFrame) -> DataFrame:
     """Client calls leave from the first service bean of their project, else its first bean, else the client."""
-    first = beans.groupBy("project").agg(F.coalesce(F.min(F.when(F.col("bean_type") == "service", F.col("name"))), F.min("name")).alias("bean"))
+    first = first_services(beans)
     named = calls.join(first, "project", "left").withColumn("src", bean_id(F.col("project"), F.coalesce("bean", "client")))
     return calls_to_endpoints(named, endpoints).select("src", "dst", F.lit("feign_calls").alias("type"), "label")
 
 
 def topic_edges(topics: DataFrame, beans: DataFrame) -> DataFrame:
     """First service bean of a project to the topics it sends, and topics to it where it listens."""
-    first = beans.groupBy("project").agg(F.coalesce(F.min(F.when(F.col("bean_type") == "service", F.col("name"))), F.min("name")).alias("bean"))
+    first = first_services(beans)
     t = topics.join(first, "project").select(bean_id(F.col("project"), F.col("bean")).alias("b"), F.concat_ws("::", F.lit("kafka_topic"), "topic").alias("t"), "role")
     sent = t.where("role <> 'consumer'").select(F.col("b").alias("src"), F.col("t").alias("dst"), F.lit("produces_event").alias("type"), F.lit("").alias("label"))
     return sent.unionByName(t.where("role <> 'producer'").select(F.col("t").alias("src"), F.col("b").alias("dst"), F.lit("consumes_event").alias("type"), F.lit("").alias("label")))
@@ -113,3 +116,76 @@ def event_flow(topics: DataFrame) -> DataFrame:
 def shared_models(fields: DataFrame) -> DataFrame:
     """Transfer objects that more than one project has: dto, projects."""
     return fields.groupBy("dto").agg(F.array_sort(F.collect_set("project")).alias("projects")).where("size(projects) > 1")
+
+
+def union_edges(parts: list[DataFrame]) -> DataFrame:
+    """One row for each (src, dst, type), with the least label."""
+    return dedup_edges(reduce(DataFrame.unionByName, parts))
+
+
+def first_services(beans: DataFrame) -> DataFrame:
+    """project, bean: the first service of each project, else its first bean."""
+    return beans.groupBy("project").agg(F.coalesce(F.min(F.when(F.col("bean_type") == "service", F.col("name"))), F.min("name")).alias("bean"))
+
+
+def publish_edges(topics: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """topics(project, topic, role, publisher_endpoint `METHOD path`): the end point, of the own project first, to the topic."""
+    t = topics.where(F.col("role").isin("producer", "both") & F.contains("publisher_endpoint", F.lit(" ")))
+    said = t.select(F.concat_ws("::", F.lit("kafka_topic"), "topic").alias("src"), F.col("project").alias("target"), F.substring_index("publisher_endpoint", " ", 1).alias("method"), F.expr("substring(publisher_endpoint, instr(publisher_endpoint, ' ') + 1)").alias("path"), "publisher_endpoint", "topic")
+    found = calls_to_endpoints(said, endpoints).select(F.col("src").alias("t"), F.col("dst").alias("e"), F.col("label").alias("key"))
+    key = F.concat_ws(" ", "method", T.norm_path(F.col("path")))
+    out = found.join(said.select(F.col("src").alias("t"), key.alias("key"), "publisher_endpoint", "topic").distinct(), ["t", "key"])
+    return out.select(F.col("e").alias("src"), F.col("t").alias("dst"), F.lit("publishes_to").alias("type"), F.concat_ws(" publishes to ", "publisher_endpoint", "topic").alias("label"))
+
+
+def uses_service(components: DataFrame, services: DataFrame) -> DataFrame:
+    """Components to the injected services of their own project."""
+    c = components.select("project", F.col("name").alias("component"), F.explode("services").alias("name")).join(services.select("project", "name").distinct(), ["project", "name"])
+    return c.select(F.concat_ws("::", F.lit("angular_component"), "project", "component").alias("src"), F.concat_ws("::", F.lit("angular_service"), "project", "name").alias("dst"), F.lit("uses_service").alias("type"), F.concat_ws(" uses ", "component", "name").alias("label"))
+
+
+def http_edges(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """calls(project, service, method, url) to the end points of their paths, of whatever project."""
+    c = calls.select(F.concat_ws("::", F.lit("angular_service"), "project", "service").alias("src"), F.lit("").alias("target"), "method", T.url_path(F.col("url")).alias("path")).where("path <> ''")
+    e = calls_to_endpoints(c, endpoints)
+    service, method, path = F.substring_index("src", "::", -1), F.lower(F.substring_index("label", " ", 1)), F.substring_index("label", " ", -1)
+    return e.select("src", "dst", F.lit("http_call").alias("type"), F.format_string("%s.%s() → %s", service, method, path).alias("label"))
+
+
+def inferred_edges(services: DataFrame, http: DataFrame, backends: DataFrame, beans: DataFrame) -> DataFrame:
+    """Services without any http_call to the first service bean of the back end that their name gives."""
+    own = services.select("project", "name", F.concat_ws("::", F.lit("angular_service"), "project", "name").alias("src")).distinct().join(http.select("src").distinct(), "src", "left_anti")
+    b = own.join(backends, "name").join(first_services(beans).withColumnRenamed("project", "backend"), "backend")
+    return b.select("src", bean_id(F.col("backend"), F.col("bean")).alias("dst"), F.lit("inferred_http_call").alias("type"), F.format_string("%s → %s (inferred by name)", "name", "backend").alias("label"))
+
+
+def contract_edges(contracts: DataFrame, services: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """contracts(caller, service, endpoint `METHOD path`, angular_service `Name.method`): known services to end points."""
+    c = contracts.where(F.contains("endpoint", F.lit(" "))).withColumn("name", F.substring_index("angular_service", ".", 1))
+    c = c.join(services.select(F.col("project").alias("caller"), "name").distinct(), ["caller", "name"], "left_semi")
+    c = c.select(F.concat_ws("::", F.lit("angular_service"), "caller", "name").alias("src"), F.col("service").alias("target"), F.substring_index("endpoint", " ", 1).alias("method"), F.expr("substring(endpoint, instr(endpoint, ' ') + 1)").alias("path"), F.format_string("%s → %s %s", "angular_service", "service", "endpoint").alias("said"))
+    found = calls_to_endpoints(c, endpoints).withColumnRenamed("label", "key")
+    said = c.groupBy("src", F.concat_ws(" ", "method", T.norm_path(F.col("path"))).alias("key")).agg(F.min("said").alias("label"))
+    return found.join(said, ["src", "key"]).select("src", "dst", F.lit("http_call").alias("type"), "label")
+
+
+def build(nodes_: DataFrame, edge_parts: list[DataFrame], root: str) -> tuple[DataFrame, DataFrame]:
+    """Write nodes and one row for each edge below root, partitioned by type, and read them again; edges without both ends
+    are kept, as a later build may bring these."""
+    spark = nodes_.sparkSession
+    nodes_.write.mode("overwrite").partitionBy("type").parquet(f"{root}/nodes")
+    union_edges(edge_parts).write.mode("overwrite").partitionBy("type").parquet(f"{root}/edges")
+    return load(spark, root)
+
+
+def load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{root}/nodes"), spark.read.parquet(f"{root}/edges")
+
+
+def auth_flow(facts: DataFrame, endpoints: DataFrame, interceptors: DataFrame) -> DataFrame:
+    """One row. facts(project, ord, jwt_filter), endpoints(project, path), interceptors(ord, name): the first project with a path
+    of authentication, all projects that validate tokens, and the first interceptor of that kind."""
+    signs = endpoints.where(F.contains("path", F.lit("/auth")) | F.contains("path", F.lit("login"))).select("project").distinct().withColumn("issues", F.lit(True))
+    back = facts.join(signs, "project", "left").agg(F.min_by(F.when(F.col("issues"), F.col("project")), F.when(F.col("issues"), F.col("ord"))).alias("token_issuer"), F.array_sort(F.collect_set(F.when(F.col("jwt_filter"), F.col("project")))).alias("validated_by"))
+    guard = interceptors.where(F.rlike(F.lower("name"), F.lit("auth|jwt"))).agg(F.min_by("name", "ord").alias("fe_interceptor"))
+    return back.crossJoin(F.broadcast(guard)).select(F.lit("JWT").alias("type"), "token_issuer", "validated_by", "fe_interceptor")  # one row each

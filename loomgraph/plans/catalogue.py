@@ -472,8 +472,11 @@ def code_service_dependencies(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import front_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
