@@ -15,7 +15,7 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: Classifiers and tokens are beyond SQL; tests hold the pipeline against brute force.
+#: Classifiers and tokens are beyond SQL; tests hold the operators behind the stages against brute force.
 ORACLE_SQL = None
 
 
