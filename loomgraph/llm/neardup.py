@@ -153,7 +153,7 @@ def candidates(classes: DataFrame, first: int, last: int, near: int, runs: bool
     ordered = rows.repartitionByRange(parts, "k").sortWithinPartitions("k")
     schema = "a long, b long, k binary, n long, bits binary, ids array<long>"
     found = cut(ordered.mapInPandas(_neighbours(near, runs), schema).select("a", "b", "k", "n", "bits", "ids"), "forest")
-    ends = found.where("k is not null and ids is null").select("k", "n", "bits").coalesce(1).mapInPandas(_edges(near), "a long, b long")
+    ends = found.where("k is not null and ids is null").select("k", "n", "bits").repartition(1).mapInPandas(_edges(near), "a long, b long")
     pairs = found.where("a is not null").select("a", "b").unionByName(ends).distinct()
     each = found.where("ids is not null")
     long = each.groupBy("k").agg(F.sum("n").alias("m")).where(F.col("m") > near + 1).select("k")
@@ -184,10 +184,15 @@ def _prefixes(rank: np.ndarray, percent: int):
         for f in frames:
             texts = f["text"].tolist()
             for a, b in batches(texts):
-                for th, c, x in zip(f["th"].iloc[a:b], f["c"].iloc[a:b], shingles(texts[a:b])):
-                    x = x[np.lexsort((x, rank[(x & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
+                sets, keys, places = shingles(texts[a:b]), [], []
+                for x in sets:
                     keep = len(x) + (-percent * len(x)) // 100 + 1
-                    yield pd.DataFrame({"th": th, "c": c, "n": len(x), "p": np.arange(keep), "key": x[:keep].view(np.int64)})
+                    keys.append(x[np.lexsort((x, rank[(x & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:keep]].view(np.int64))
+                    places.append(np.arange(keep))
+                if keys:
+                    times = [len(k) for k in keys]
+                    whole = {name: np.repeat(f[name].to_numpy()[a:b], times) for name in ("th", "c")}
+                    yield pd.DataFrame(whole | {"n": np.repeat([len(x) for x in sets], times), "p": np.concatenate(places), "key": np.concatenate(keys)})
 
     return run
 
