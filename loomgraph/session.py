@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir (a temporary one only where it is unset) and read back."""
+    """Write to the folder in spark.checkpoint.dir (where it is unset: a temporary one, in local mode only) and read back."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
         root = _OWN[0]
