@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 
     Each step replaces a node's links by links to the smallest neighbour; no neighbourhood is gathered in one task:
     minima are pre-aggregated and joined back, and a join on a hub can be split. Stops when the links no longer
-    change. An empty input gives an empty result.
+    change, and raises if they still do after `rounds`. An empty input gives an empty result.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     seen = None
@@ -29,5 +29,7 @@ def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
