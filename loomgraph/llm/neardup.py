@@ -9,7 +9,8 @@ what is close in dense regions; the pairs of the other trees are then only neede
 
 A run of classes with a common prefix of two may be longer than that window. Where it then still holds different
 components, all its classes go a second, exact way: their shingles are ordered by rarity, the rarest of each class
-(prefix filter) are joined by equality, sizes and places drop pairs without loss, and whole sets decide again.
+(prefix filter) are joined by equality, sizes, places and the number of shared ones drop pairs without loss, and whole
+sets decide again.
 
 Memory: a task holds one batch of texts, or rows of a sorted range; nothing gathers a group. Null and blank texts have
 no shingles and stay alone; equal rows are one class; an empty table gives no rows.
@@ -223,7 +224,10 @@ def crowded_pairs(runs: DataFrame, component: DataFrame, classes: DataFrame, doc
     # an overlap of at least percent / (100 + percent) of both sizes must still be possible behind the shared shingle
     place = F.expr(f"{100 + percent} * (least(x.p, y.p) + least(x.n - x.p, y.n - y.p)) >= {percent} * (x.n + y.n)")
     pairs = x.join(y, F.expr("x.key = y.key and x.part = y.part") & once & sizes & place)
-    return pairs.select(F.least("x.th", "y.th").alias("a"), F.greatest("x.th", "y.th").alias("b")).distinct()
+    # similar sets share more than one of their rarest shingles: all they must share but those behind the longer prefix
+    need = F.expr(f"cast(ceil({percent} * (x.n + y.n) / {100 + percent}) as long) + 1 - cast(ceil({percent} * greatest(x.n, y.n) / 100) as long)")
+    shared = pairs.select(F.least("x.th", "y.th").alias("a"), F.greatest("x.th", "y.th").alias("b"), need.alias("need"))
+    return shared.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared")).where("shared >= need").select("a", "b")
 
 
 def _verify(percent: int):
