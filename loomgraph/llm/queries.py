@@ -12,6 +12,8 @@ from .decontamination import contamination
 from .katz import katz_scores
 from .language import identify_language
 from .linededup import dedup_lines
+from .merkle import manifest
+from .merkle_sql import SQL as MANIFEST_SQL
 from .neardup import near_duplicates
 from .neighbours import nearest
 from .packing import pack_documents
@@ -70,9 +72,13 @@ def op10_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_merkle_manifest": MANIFEST_SQL}
