@@ -69,6 +69,12 @@ def row_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id, F.lit(-(1 << 63)))
 
 
+def by_text_id(df: DataFrame, run, schema: str, *ids: str) -> DataFrame:
+    """df.mapInPandas(run, schema) with the ids as decimal text inside: beside a null, pandas would make them doubles."""
+    out = df.withColumns({c: F.col(c).cast("string") for c in ids}).mapInPandas(run, schema)
+    return out.withColumns({c: F.col(c).cast(df.schema[c].dataType) for c in ids})
+
+
 def rank_in_class(df: DataFrame, cls: str, order: list[str], buckets: int = 64) -> DataFrame:
     """Add `rank`, gapless from 0 within each value of `cls`, without bringing a whole class into one task.
 

@@ -20,6 +20,7 @@ from .packing import pack_documents
 from .repeats import remove_repeats
 from .sharding import shard
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +73,10 @@ def op10_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
