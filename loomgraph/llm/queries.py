@@ -17,6 +17,7 @@ from .merkle_sql import SQL as MANIFEST_SQL
 from .neardup import near_duplicates
 from .neighbours import nearest
 from .packing import pack_documents
+from .quality import score_quality
 from .repeats import remove_repeats
 from .sharding import shard
 from .toxicity import score_toxicity
@@ -77,6 +78,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
