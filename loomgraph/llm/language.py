@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import by_text_id, id_remainder
 
 DOCUMENTS, WORDS, LANGUAGES, LONGEST, REMEMBERED = 400, 48, 64, 16, 300_000
 HIDDEN, STEPS, BATCH = 16, 700, 256
@@ -213,4 +213,5 @@ def identify_language(docs: DataFrame, fold: int = 3, out_fold: int = 1) -> Data
                     score[some] = p.max(axis=1)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": pred, "score": score})
 
-    return docs.select("doc_id", "text", held.alias("held_out")).mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", "text", held.alias("held_out"))
+    return by_text_id(rows, predict, "doc_id string, held_out boolean, lang_pred string, score double", "doc_id")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import by_text_id, cut, row_key
 from .components import connected_components
 from .wordhash import batches, mix, shingles
 
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def near_duplicate_rows(docs: DataFrame, percent: int = 75) -> DataFrame:
     """near_duplicates with th, the hash of the text: of each component one (doc_id, th) is kept."""
     docs = docs.select("doc_id", "text")
-    signed = docs.withColumn("th", F.xxhash64("text")).mapInPandas(_sign, "doc_id long, th long, n long, d1 long, d2 long, sig binary")
+    signed = by_text_id(docs.withColumn("th", F.xxhash64("text")), _sign, "doc_id string, th long, n long, d1 long, d2 long, sig binary", "doc_id")
     signed = cut(signed, "signed")
     some = signed.where("n > 0")
     classes = cut(some.groupBy("n", "d1", "d2").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("x"), F.first("sig").alias("sig")).select("n", "d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("th"), "sig"), "classes")

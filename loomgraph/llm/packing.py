@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rank_in_class
+from .common import by_text_id, cut, rank_in_class
 
 CAPACITY = 2048
 #: Words of at most `LONGEST` characters that a Python worker remembers the ids of; beyond that it starts afresh.
@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
                         rows.append((d, i, at // 4, len(x) // 4, zlib.crc32(x)))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return by_text_id(docs.select("doc_id", "text"), run, "doc_id string, piece int, start long, length long, ids_crc32 long", "doc_id")
 
 
 class Plan:
@@ -248,8 +248,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield f.drop(columns="rank").assign(sequence_id=seq, offset=off)[[c.name for c in fields] + ["sequence_id", "offset"]]
 
     ranked = rank_in_class(pieces, "length", ["doc_id", "piece", "ids_crc32"])
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in fields)
-    return ranked.select(*[c.name for c in fields], "rank").mapInPandas(run, schema + ", sequence_id long, offset long")
+    schema = ", ".join(f"`{c.name}` {'string' if c.name == 'doc_id' else c.dataType.simpleString()}" for c in fields)
+    return by_text_id(ranked.select(*[c.name for c in fields], "rank"), run, schema + ", sequence_id long, offset long", "doc_id")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import by_text_id, cut, row_key
 from .wordhash import batches, mix, running, span_hash
 
 LENGTH, GRAM, Q = 200, 32, 25
@@ -193,4 +193,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ranges = repeated_ranges(docs)
     known = copies.join(ranges, "th", "left").where("copies > 1 or ranges is not null").select("th", "copies", F.when(F.col("copies") == 1, F.col("ranges")).alias("ranges"))
     out = docs.join(known, "th", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "ranges")
-    return out.mapInPandas(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_text_id(out, _remove, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string", "doc_id")

@@ -15,6 +15,7 @@ no labels of one kind all scores are the share of label 1 (0.5 without labels).
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_remainder
+from .common import by_text_id, cut, id_remainder
 from .wordhash import batches
 
 LABELLED, EVIDENCE, REMEMBERED = 20_000, 20_000, 400_000
@@ -145,7 +146,7 @@ class Reader:
         if not (" " in token or _ODD.search(token)) or not any(c.isalpha() for c in token):
             return [plain]
         if len(token) > WHOLE:
-            return [plain, *self.channel.divided(token)[:1]]
+            return [plain, *self.channel.divided(token)]
         return [plain, self.channel.restore(token), self.channel.restore(plain)]
 
     def tokens(self, text: str | None) -> set[str]:
@@ -179,10 +180,10 @@ class Reader:
         return [some[0] if some else 0.0, sum(some[:3]), math.log1p(sum(w > 4 for w in some)), math.log1p(len(some)), math.log1p(len(text or "")) / 4]
 
 
-_readers: dict[int, Reader] = {}
+_readers: dict[str, Reader] = {}
 
 
-def _reader(key: int, counts: dict[int, int], weights: dict[str, float]) -> Reader:
+def _reader(key: str, counts: dict[int, int], weights: dict[str, float]) -> Reader:
     if key not in _readers:
         _readers.clear()
         _readers[key] = Reader(counts, weights)
@@ -256,7 +257,7 @@ def toxicity_rows(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFram
         return out
 
     weights = weigh(0, 0)
-    key = hash((n1, n0, len(weights), sum(counts.values())))
+    key = hashlib.sha256(repr((sorted(counts.items()), sorted(weights.items()))).encode()).hexdigest()
     if n1 and n0:
 
         def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,4 +278,4 @@ def toxicity_rows(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFram
             yield pd.DataFrame({"doc_id": f["doc_id"], "th": f["th"], "held_out": f["held_out"], "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", (id_remainder(F.col("doc_id"), fold) == 0).alias("held_out"))
-    return rows.mapInPandas(score, "doc_id long, th long, held_out boolean, score double, predicted int")
+    return by_text_id(rows, score, "doc_id string, th long, held_out boolean, score double, predicted int", "doc_id")
