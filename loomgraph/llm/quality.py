@@ -159,7 +159,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, fold: int = 3) -> DataFram
     """docs(doc_id, text), labels(doc_id, quality) -> doc_id, held_out, score, predicted."""
     chosen = labels.where(id_remainder(F.col("doc_id"), fold) != 1).where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    known = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("at"))
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("at"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, x in _measured(frames):
