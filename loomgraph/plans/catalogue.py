@@ -472,7 +472,7 @@ def code_service_dependencies(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import front_queries, trace_queries  # noqa: F401  these register their own
+    from . import change_queries, front_queries, trace_queries  # noqa: F401  these register their own
 
     return dict(QUERIES)
 

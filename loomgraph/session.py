@@ -20,16 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir (where it is unset: a temporary one, in local mode only) and read back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A path for a new folder in spark.checkpoint.dir; where that is unset, in a temporary one, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
         root = _OWN[0]
-    path = f"{root}/step-{uuid.uuid4().hex}"
+    return f"{root}/{kind}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
