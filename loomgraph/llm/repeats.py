@@ -152,7 +152,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     wanted = wanted.select("d", "th", F.col("x.s0").alias("starts"), F.col("x.parts").alias("parts"), F.col("x.bucket").alias("buckets"))
     wanted = cut(wanted, "wanted")
     total = wanted.agg(F.sum(F.size("starts"))).first()[0] or 0
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000 + 1)
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8_000 + 1)
     texts = docs.select(row_key(F.col("doc_id")).alias("d"), "th", "text").join(wanted, ["d", "th"]).select("th", "text", "starts", "parts", "buckets")
     texts = texts.mapInPandas(_contexts, "bucket long, th long, parts int, s0 long, bytes binary")
     texts = texts.withColumn("bucket", F.pmod("bucket", F.lit(groups)))
