@@ -78,29 +78,29 @@ def reindex_pieces(spark, d):
 
 
 def _diffs(spark, d) -> DataFrame:
-    """A patch for each order, with a file for each of its lines."""
-    line = table(spark, d, "lineitem")
-    path = F.format_string("order-%d/line-%d.txt", "l_orderkey", "l_linenumber")
-    text = F.format_string("--- a/%s\n+++ b/%s\n@@ -1,3 +1,4 @@ line\n part %d\n--- supplier %d\n+-- supplier %d\n+mode %s\n end\n@@ -9,0 +11,1 @@\n+tail %d", path, path, "l_partkey", "l_suppkey", F.col("l_suppkey") + 1, "l_returnflag", "l_linenumber")
-    each = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("t")))).alias("x"))
-    return each.select(F.col("l_orderkey").alias("id"), F.array_join(F.transform("x", lambda s: s["t"]), "\n").alias("diff"))
+    """A patch for each customer, with a file for each of their orders."""
+    o = table(spark, d, "orders")
+    path = F.format_string("customer-%d/order-%d.txt", "o_custkey", "o_orderkey")
+    text = F.format_string("--- a/%s\n+++ b/%s\n@@ -1,3 +1,4 @@ order\n status %s\n--- key %d\n+-- key %d\n+priority %s\n end\n@@ -9,0 +11,1 @@\n+tail %d", path, path, "o_orderstatus", "o_orderkey", F.col("o_orderkey") + 1, "o_orderpriority", "o_custkey")
+    each = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", text.alias("t")))).alias("x"))
+    return each.select(F.col("o_custkey").alias("id"), F.array_join(F.transform("x", lambda s: s["t"]), "\n").alias("diff"))
 
 
-_PATH = "'order-' || l_orderkey || '/line-' || l_linenumber || '.txt'"
+_PATH = "'customer-' || o_custkey || '/order-' || o_orderkey || '.txt'"
 
 
-@query(f"""select l_orderkey as id, {_PATH} as path, kind, old_no, new_no, text from lineitem, unnest([
- {{'kind': 'context', 'old_no': 1, 'new_no': 1, 'text': 'part ' || l_partkey}}, {{'kind': 'remove', 'old_no': 2, 'new_no': null, 'text': '-- supplier ' || l_suppkey}},
- {{'kind': 'add', 'old_no': null, 'new_no': 2, 'text': '-- supplier ' || (l_suppkey + 1)}}, {{'kind': 'add', 'old_no': null, 'new_no': 3, 'text': 'mode ' || l_returnflag}},
- {{'kind': 'context', 'old_no': 3, 'new_no': 4, 'text': 'end'}}, {{'kind': 'add', 'old_no': null, 'new_no': 11, 'text': 'tail ' || l_linenumber}}]) as u(x), lateral (select x.kind, x.old_no, x.new_no, x.text)""")
+@query(f"""select o_custkey as id, {_PATH} as path, kind, old_no, new_no, text from orders, unnest([
+ {{'kind': 'context', 'old_no': 1, 'new_no': 1, 'text': 'status ' || o_orderstatus}}, {{'kind': 'remove', 'old_no': 2, 'new_no': null, 'text': '-- key ' || o_orderkey}},
+ {{'kind': 'add', 'old_no': null, 'new_no': 2, 'text': '-- key ' || (o_orderkey + 1)}}, {{'kind': 'add', 'old_no': null, 'new_no': 3, 'text': 'priority ' || o_orderpriority}},
+ {{'kind': 'context', 'old_no': 3, 'new_no': 4, 'text': 'end'}}, {{'kind': 'add', 'old_no': null, 'new_no': 11, 'text': 'tail ' || o_custkey}}]) as u(x), lateral (select x.kind, x.old_no, x.new_no, x.text)""")
 def patch_lines(spark, d):
     return patches.diff_lines(_diffs(spark, d)).select("id", "path", "kind", "old_no", "new_no", "text")
 
 
-@query(f"""select {_PATH} as path, 'part ' || l_partkey || chr(10) || '-- supplier ' || (l_suppkey + 1) || chr(10) || 'mode ' || l_returnflag || chr(10) || 'end' || chr(10)
- || array_to_string(list_transform(range(4, 10), lambda n: 'l' || n || ' ' || l_orderkey), chr(10)) || chr(10) || 'tail ' || l_linenumber || chr(10) || 'l10' as text from lineitem""")
+@query(f"""select {_PATH} as path, 'status ' || o_orderstatus || chr(10) || '-- key ' || (o_orderkey + 1) || chr(10) || 'priority ' || o_orderpriority || chr(10) || 'end' || chr(10)
+ || array_to_string(list_transform(range(4, 10), lambda n: 'l' || n || ' ' || o_orderkey), chr(10)) || chr(10) || 'tail ' || o_custkey || chr(10) || 'l10' as text from orders""")
 def patched_files(spark, d):
-    line = table(spark, d, "lineitem")
-    rest = F.array_join(F.transform(F.sequence(F.lit(4), F.lit(9)), lambda n: F.format_string("l%d %d", n, "l_orderkey")), "\n")
-    files = line.select(F.format_string("order-%d/line-%d.txt", "l_orderkey", "l_linenumber").alias("path"), F.concat(F.format_string("part %d\n-- supplier %d\nend\n", "l_partkey", "l_suppkey"), rest, F.lit("\nl10")).alias("text"))
+    o = table(spark, d, "orders")
+    rest = F.array_join(F.transform(F.sequence(F.lit(4), F.lit(9)), lambda n: F.format_string("l%d %d", n, "o_orderkey")), "\n")
+    files = o.select(F.format_string("customer-%d/order-%d.txt", "o_custkey", "o_orderkey").alias("path"), F.concat(F.format_string("status %s\n-- key %d\nend\n", "o_orderstatus", "o_orderkey"), rest, F.lit("\nl10")).alias("text"))
     return patches.patched(files, patches.diff_lines(_diffs(spark, d)))
