@@ -96,12 +96,12 @@ def constants(members: DataFrame) -> DataFrame:
 
 
 def endpoints(members: DataFrame) -> DataFrame:
-    """One row for each mapped method: path, method, controller, handler, DTOs, roles, auth_required, javadoc.
+    """One row for each mapped method: path, method, controller, handler, DTOs, roles, auth_required, javadoc, file, no.
 
     A path that is not quoted is looked up among the constants of its project, and is empty if not found.
     """
     verb = F.regexp_extract("stmt", r"@(Get|Post|Put|Delete|Patch|Request)Mapping\b", 1)
-    m = members.where("what = 'method' and kind = 'class'").withColumn("verb", verb).where("verb <> ''")
+    m = members.where("what = 'method' and kind = 'class'").withColumnRenamed("path", "file").withColumn("verb", verb).where("verb <> ''")
     args = F.coalesce(_args(F.col("stmt"), r"(?:Get|Post|Put|Delete|Patch|Request)Mapping"), F.lit(""))
     m = m.withColumn("args", args).withColumn("quoted", _quoted(args, "path", "value")).withColumn("const", _get(F.col("args"), r"(?:^|(?:path|value)\s*=)\s*([A-Z]\w*(?:\.\w+)?)\s*(?:,|$)"))
     known = constants(members).select("project", F.col("name").alias("const"), "value")
@@ -117,6 +117,7 @@ def endpoints(members: DataFrame) -> DataFrame:
         "project", path.alias("path"), F.when(F.col("verb") == "Request", by_name).otherwise(F.upper("verb")).alias("method"), F.col("cls").alias("controller"), F.col("name").alias("handler"),
         T.unwrap_generic(body).alias("request_dto"), F.when(~F.lower(answer).isin("void", "?"), answer).alias("response_dto"), T.roles(secured).alias("roles"),
         F.rlike(secured, F.lit(r"@(?:PreAuthorize|Secured|RolesAllowed)\b")).alias("auth_required"), F.col("doc").alias("javadoc"),
+        F.col("file").alias("file"), "no",
     )
 
 
@@ -206,24 +207,6 @@ def client_calls(members: DataFrame, settings: DataFrame) -> DataFrame:
     return m.select("project", "client", F.coalesce(host, "client").alias("target"), "property_key", F.when(F.col("verb") == "Request", by_name).otherwise(F.upper("verb")).alias("method"), path.alias("path"), body.alias("request_dto"), F.when(answer != "void", answer).alias("response_dto"))
 
 
-def topics(statements: DataFrame, members: DataFrame, settings: DataFrame) -> DataFrame:
-    """project, topic, role (producer, consumer, both), property_key, group_id.
-
-    Topics are literals, `${key}` of settings(project, key, value), or constants; what cannot be resolved stays as it is written.
-    """
-    listens = _args(F.col("stmt"), r"(?:KafkaListener|RabbitListener|StreamListener)")
-    named = F.coalesce(_get(listens, r"(?:topics|queues|topicPattern|value)\s*=\s*(\[[^\]]*\]|\"[^\"]*\"|[\w.]+)"), _get(listens, r"^\s*(\[[^\]]*\]|\"[^\"]*\"|[\w.]+)\s*(?:,|$)"))
-    heard = members.where("what = 'method'").select("project", F.explode(_all(named, r"((?:\"[^\"]*\")|[A-Za-z_][\w.]*)")).alias("raw"), F.lit("consumer").alias("role"), _get(listens, r"groupId\s*=\s*\"([^\"]*)\"").alias("group_id"))
-    sends = _all(F.col("stmt"), r"(?i:kafkaTemplate|rabbitTemplate|streamBridge)\s*\.\s*(?:send|convertAndSend)\(\s*(\"[^\"]*\"|[\w.]+)\s*[,)]")
-    said = statements.where("depth > 1").select("project", F.explode(sends).alias("raw"), F.lit("producer").alias("role"), F.lit(None).cast("string").alias("group_id"))
-    each = heard.unionByName(said).withColumn("literal", _get(F.col("raw"), r"^\"(.*)\"$"))
-    known = constants(members).select("project", F.col("name").alias("raw"), F.col("value").alias("constant"))
-    each = each.join(known, ["project", "raw"], "left").withColumn("topic", F.coalesce("literal", "constant", "raw")).withColumn("property_key", _get(F.col("topic"), r"\$\{([^}:]+)"))
-    each = each.join(settings.select("project", F.col("key").alias("property_key"), F.col("value").alias("found")), ["project", "property_key"], "left")
-    both = F.when(F.count_distinct("role") > 1, "both").otherwise(F.min("role"))
-    return each.groupBy("project", F.coalesce("found", "topic").alias("topic")).agg(both.alias("role"), F.min("property_key").alias("property_key"), F.min("group_id").alias("group_id"))
-
-
 def derived_query(name: Column) -> Column:
     """`findByStatusAndAgeGreaterThan` as `SELECT WHERE status = ? AND age > ?`; null for other names.
 
@@ -282,20 +265,27 @@ def components(files: DataFrame) -> DataFrame:
     )
 
 
-def http_calls(files: DataFrame) -> DataFrame:
-    """project, path, service, method, url, response_shape of `this.http.verb<T>(url` calls in Angular services.
+def script_calls(files: DataFrame) -> DataFrame:
+    """project, path, method, url, response_shape of the `this.http.verb<T>(url` calls in each file.
 
     `${…}` becomes `*`; a plain name or `this.name` takes the text of that field where the file has it.
     """
     pattern = r"this\.http\s*\.\s*(?:get|post|put|delete|patch)\s*(?:<[^(]*>)?\(\s*(?:`[^`]*`|'[^']*'|\"[^\"]*\"|[\w.]+)"
-    s = _of(files, r"\.service\.ts$").select("project", "path", _get(F.col("text"), r"export\s+class\s+(\w+)").alias("service"), "text", F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("call"))
+    s = files.select("project", "path", "text", F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("call"))
     raw = _get(F.col("call"), r"\(\s*(`[^`]*`|'[^']*'|\"[^\"]*\"|[\w.]+)$")
     names = _all(F.col("text"), r"\b(\w+)\s*(?::\s*string\s*)?=\s*['\"`][^'\"`\n]*['\"`]")
     texts = _all(F.col("text"), r"\b\w+\s*(?::\s*string\s*)?=\s*['\"`]([^'\"`\n]*)['\"`]")
     field = F.regexp_extract(raw, r"^(?:this\.)?(\w+)$", 1)
     known = F.try_element_at(texts, F.nullif(F.array_position(names, field).cast("int"), F.lit(0)))
     said = F.coalesce(_get(raw, r"^[`'\"](.*)[`'\"]$"), known, raw)
-    return s.select("project", "path", "service", F.upper(F.regexp_extract("call", r"http\s*\.\s*(\w+)", 1)).alias("method"), F.regexp_replace(said, r"\$\{[^}]*\}", "*").alias("url"), _get(F.col("call"), r"<([^(]*)>\(").alias("response_shape"))
+    return s.select("project", "path", F.upper(F.regexp_extract("call", r"http\s*\.\s*(\w+)", 1)).alias("method"), F.regexp_replace(said, r"\$\{[^}]*\}", "*").alias("url"), _get(F.col("call"), r"<([^(]*)>\(").alias("response_shape"))
+
+
+def http_calls(files: DataFrame) -> DataFrame:
+    """script_calls of Angular services, with the service's class."""
+    services = _of(files, r"\.service\.ts$")
+    named = services.select("project", "path", _get(F.col("text"), r"export\s+class\s+(\w+)").alias("service")).distinct()
+    return script_calls(services).join(named, ["project", "path"]).select("project", "path", "service", "method", "url", "response_shape")
 
 
 def routes(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import chunking, codegraph, dialogue, extraction, graph, matching, vectors
+from ..operators import chunking, codegraph, dialogue, extraction, frontend, graph, matching, messaging, vectors
 from ..session import materialize, table
 from ..streaming import debounce as quiet
 from . import sources
@@ -394,9 +394,11 @@ _TOPICS = """topics as (select 'user-' || user_id as project, event_type || '-'
  (select user_id, event_type, event_id, coalesce(value, 0) as value from events) group by 1, 2)"""
 
 
-@query(f"with {_ENDPOINTS} select * exclude (o_orderkey) from endpoints")
+@query(f"""with {_ENDPOINTS} select * exclude (o_orderkey), case when method = 'POST' then replace(response_dto, 'Dto', 'Request') end as request_dto, case when method = 'POST' then 'CLERK,DESK' else '' end as roles, method = 'POST' as auth_required
+ from endpoints""")
 def extract_endpoints(spark, d):
-    return extraction.endpoints(_java(sources.controllers(spark, d))[1]).drop("request_dto", "roles", "auth_required")
+    out = extraction.endpoints(_java(sources.controllers(spark, d))[1]).drop("file", "no")
+    return out.withColumn("roles", F.array_join("roles", ","))
 
 
 @query(f"""select {_SLUG_SQL.format('c_mktsegment')} as project, 'Customer' || c_custkey || 'Controller' as name, 'controller' as bean_type, 'CheckService,Nation' || c_nationkey || 'Service' as dependencies, count(*) as n_methods
@@ -430,8 +432,7 @@ def extract_client_calls(spark, d):
 
 
 def _topics(spark, d):
-    none = sources.settings(spark, d).limit(0)
-    return extraction.topics(*_java(sources.listeners(spark, d)), none)
+    return messaging.topics(*_java(sources.listeners(spark, d)), sources.topic_settings(spark, d))
 
 
 @query(f"with {_TOPICS} select project, topic, role from topics")
@@ -444,6 +445,28 @@ def code_event_flow(spark, d):
     return codegraph.event_flow(_topics(spark, d)).select("topic", F.array_join("producers", ",").alias("producers"), F.array_join("consumers", ",").alias("consumers"))
 
 
+@query("""with e as (select 'user-' || user_id as project, event_type || '-' || event_id % 50 as topic, value > 50 as heard, event_id % 3 as way, 'topic.' || event_type || '.' || event_id % 50 as key, event_id % 50 as k from events)
+ select project, topic, coalesce(min(case when heard and way = 1 then key when heard and way = 2 then 'gone.' || k end), min(key)) as property_key, max(case when heard then 'g' end) as group_id from e group by project, topic""")
+def topic_keys(spark, d):
+    """The setting behind each topic, by its reference or by its value, and the listening group."""
+    return _topics(spark, d).select("project", "topic", "property_key", "group_id")
+
+
+@query(f"""select {_SLUG_SQL.format('p_brand')} as project, 'Part' || p_partkey || 'Item' as name,
+ case when p_partkey % 4 = 0 then 'parts_' || p_size when p_partkey % 4 = 3 then 'Part' || p_partkey || 'Item' when p_size % 2 = 0 then 'p_' || p_size || 'x' else 'p_any' end as collection from part""")
+def stored_collections(spark, d):
+    return messaging.collections(_java(sources.stored_documents(spark, d))[1], sources.size_settings(spark, d))
+
+
+@query("""select 'Supplier' || s_suppkey || 'Service' as service, case s_suppkey % 6 when 0 then 'own' when 1 then 'parent' when 2 then 'override' when 3 then 'slug' else 'literal' end as via,
+ case when s_suppkey % 6 = 2 then 'PUT' when s_suppkey % 6 = 1 and s_nationkey % 2 = 0 then 'POST' else 'GET' end as method,
+ case s_suppkey % 6 when 0 then '/api/supplier/' || s_suppkey when 1 then case when s_nationkey % 2 = 0 then '/api/nation/' || s_nationkey else '/api/base' end when 2 then 'v2/s/' || s_suppkey
+ when 3 then case when s_nationkey % 3 = 0 then 'v1/all-' || s_nationkey else 'v1/n' || s_nationkey end else 'v1/supplier-' || s_suppkey end as url from supplier where s_suppkey % 6 < 5""")
+def service_calls(spark, d):
+    """HTTP calls of front-end services, through up to two ancestors."""
+    return frontend.service_calls(materialize(sources.front_services(spark, d))).select("service", "via", "method", "url")
+
+
 @query("""select 'V' || o_custkey || '__orders.sql' as file, count(distinct o_orderstatus) as n_tables, least(count(*), 6) as n_columns, 'c' || min(o_orderkey) || ':text' as first_column from orders group by o_custkey""")
 def extract_migrations(spark, d):
     m = extraction.migrations(sources.migrations(spark, d))

@@ -22,7 +22,10 @@ def _joined(piece, order: str):
 
 def controllers(spark: SparkSession, d: str) -> DataFrame:
     verb = F.when(F.startswith("o_orderpriority", F.lit("1")), "Post").otherwise("Get")
-    method = F.format_string('  /** Order %d. */\n  @%sMapping("/orders/%d/{id}")\n  public ResponseEntity<Order%sDto> take%d(@PathVariable Long id) { return orders.find(check.pass(id)); }\n', "o_orderkey", verb, "o_orderkey", "o_orderstatus", "o_orderkey")
+    posts = F.startswith("o_orderpriority", F.lit("1"))
+    guard = F.when(posts, "  @PreAuthorize(\"hasRole('DESK') or hasAuthority('CLERK')\")\n").otherwise("")
+    body = F.when(posts, F.format_string(", @Valid @RequestBody Order%sRequest body", "o_orderstatus")).otherwise("")
+    method = F.format_string('  /** Order %d. */\n%s  @%sMapping("/orders/%d/{id}")\n  public ResponseEntity<Order%sDto> take%d(@PathVariable Long id%s) { return orders.find(check.pass(id)); }\n', "o_orderkey", guard, verb, "o_orderkey", "o_orderstatus", "o_orderkey", body)
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(_joined(method, "o_orderkey").alias("body"))
     c = table(spark, d, "customer").join(o, "c_custkey")
     name = F.format_string("Customer%dController", "c_custkey")
@@ -46,13 +49,68 @@ def clients(spark: SparkSession, d: str) -> DataFrame:
     return s.select(_slug("n_name").alias("project"), F.format_string("src/Supplier%dClient.java", "s_suppkey").alias("path"), F.concat(head, "body", F.lit("}\n")).alias("text"))
 
 
+def _named_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the topic that they name, its number and the project of their user."""
+    e = table(spark, d, "events").withColumn("k", F.pmod("event_id", F.lit(50)))
+    return e.select("*", F.format_string("user-%d", "user_id").alias("project"), F.format_string("%s-%d", "event_type", "k").alias("topic"), F.format_string("topic.%s.%d", "event_type", "k").alias("key"))
+
+
 def listeners(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    heard = F.format_string('  @KafkaListener(topics = "%s-%d", groupId = "g")\n  public void on%d(String m) { }\n', "event_type", F.pmod("event_id", F.lit(50)), "event_id")
-    sent = F.format_string('  public void do%d() { kafkaTemplate.send("%s-%d", "{}"); }\n', "event_id", "event_type", F.pmod("event_id", F.lit(50)))
-    files = e.groupBy("user_id").agg(_joined(F.when(F.col("value") > 50, heard).otherwise(sent), "event_id").alias("body"))
+    """Topics as literals, references to settings, expressions with a default, and constants."""
+    e = _named_events(spark, d)
+    way = F.pmod("event_id", F.lit(3))
+    name = F.when(way == 1, F.concat(F.lit("${"), "key", F.lit("}"))).when(way == 2, F.format_string("#{'${gone.%d:%s}'}", "k", "topic")).otherwise(F.col("topic"))
+    heard = F.format_string('  @KafkaListener(topics = "%s", groupId = "g")\n  public void on%d(String m) { }\n', name, "event_id")
+    said = F.when(way == 1, F.format_string("Topics.%s_%d", F.upper("event_type"), "k")).otherwise(F.format_string('"%s"', "topic"))
+    sent = F.format_string('  public void do%d() { kafkaTemplate.send(%s, "{}"); }\n', "event_id", said)
+    files = e.groupBy("project", "user_id").agg(_joined(F.when(F.col("value") > 50, heard).otherwise(sent), "event_id").alias("body"))
     head = F.format_string("@Service\npublic class User%dService {\n  private KafkaTemplate<String, String> kafkaTemplate;\n", "user_id")
-    return files.select(F.format_string("user-%d", "user_id").alias("project"), F.format_string("src/User%dService.java", "user_id").alias("path"), F.concat(head, "body", F.lit("}\n")).alias("text"))
+    services = files.select("project", F.format_string("src/User%dService.java", "user_id").alias("path"), F.concat(head, "body", F.lit("}\n")).alias("text"))
+    each = e.select("project", "topic", F.format_string('  public static final String %s_%d = "%s";\n', F.upper("event_type"), "k", "topic").alias("line")).distinct()
+    constants = each.groupBy("project").agg(_joined(F.col("line"), "topic").alias("body"))
+    return services.unionByName(constants.select("project", F.lit("src/Topics.java").alias("path"), F.concat(F.lit("public class Topics {\n"), "body", F.lit("}\n")).alias("text")))
+
+
+def topic_settings(spark: SparkSession, d: str) -> DataFrame:
+    """project, key, value: each topic's name, whose number is itself a setting."""
+    e = _named_events(spark, d).select("project", "key", "event_type", "k").distinct()
+    named = e.select("project", "key", F.format_string("%s-${number.%d}", "event_type", "k").alias("value"))
+    return named.unionByName(e.select("project", F.format_string("number.%d", "k").alias("key"), F.col("k").cast("string").alias("value")).distinct())
+
+
+def stored_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A stored class for each part: its collection as a literal, with a suffix that the environment may set, or unnamed."""
+    p, way = table(spark, d, "part"), F.pmod("p_partkey", F.lit(4))
+    literal, asked = F.format_string('(collection = "parts_%d")', "p_size"), F.format_string("('size.%d') ?: '_any'}\")", "p_size")
+    given = F.when(way == 0, literal).when(way == 1, F.concat(F.lit('("p#{@environment.getProperty'), asked)).when(way == 2, F.concat(F.lit('("p#{@environment.getProperty"\n    + "'), asked)).otherwise("")
+    text = F.concat(F.lit("@Document"), given, F.format_string("\npublic class Part%dItem {\n  private Long key;\n}\n", "p_partkey"))
+    return p.select(_slug("p_brand").alias("project"), F.format_string("src/Part%dItem.java", "p_partkey").alias("path"), text.alias("text"))
+
+
+def size_settings(spark: SparkSession, d: str) -> DataFrame:
+    """project, key, value: suffixes of even sizes, that refer to another setting."""
+    p = table(spark, d, "part").where("p_size % 2 = 0").select(_slug("p_brand").alias("project"), "p_size").distinct()
+    return p.select("project", F.format_string("size.%d", "p_size").alias("key"), F.format_string("_%d${tail:}", "p_size").alias("value")).unionByName(p.select("project", F.lit("tail").alias("key"), F.lit("x").alias("value")).distinct())
+
+
+def front_services(spark: SparkSession, d: str) -> DataFrame:
+    """A service for each supplier, that calls itself, inherits its nation's calls (or those of that one's parent), overrides an
+    address, gives a slug, or inherits from a circle."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    way = F.pmod("s_suppkey", F.lit(6)).cast("int")
+    name = F.format_string("export class Supplier%dService extends %s { %s }", "s_suppkey", F.element_at(F.array(F.lit("Object"), F.format_string("Nation%dApi", "n_nationkey"), *[F.lit(x) for x in ("Gone", "Gone", "Gone", "Round1")]), way + 1), F.element_at(F.array(
+        F.format_string("load() { return this.http.get<Item[]>('/api/supplier/%d'); }", "s_suppkey"), F.lit(""), F.format_string("override apiItemsUrl() { return 'v2/s/%d'; } save() { super.put({ method: HTTP_LOAD_METHODS.put }); }", "s_suppkey"),
+        F.format_string("constructor(h: H) { super(h, API_SLUGS.N%d); }", "n_nationkey"), F.format_string("constructor(h: H) { super(h, 'supplier-%d'); }", "s_suppkey"), F.lit(""),
+    ), way + 1))
+    services = s.select(F.format_string("src/s%d.service.ts", "s_suppkey").alias("path"), name.alias("text"))
+    n = table(spark, d, "nation")
+    own = F.when(F.col("n_nationkey") % 2 == 0, F.format_string("save() { this.http.post('/api/nation/%d', x); }", "n_nationkey")).otherwise("")
+    nations = n.select(F.format_string("src/nation-%d.ts", "n_nationkey").alias("path"), F.format_string("export class Nation%dApi extends BaseApi<X> { %s }", "n_nationkey", own).alias("text"))
+    slugs = n.where("n_nationkey % 3 = 0").select(F.lit("src/slugs.constants.ts").alias("path"), "n_nationkey", F.format_string("  N%d: 'all-%d',\n", "n_nationkey", "n_nationkey").alias("x"))
+    slugs = slugs.groupBy("path").agg(_joined(F.col("x"), "n_nationkey").alias("x")).select("path", F.concat(F.lit("export const API_SLUGS = {\n"), "x", F.lit("};")).alias("text"))
+    few = [("src/base.ts", "export abstract class BaseApi<T> { load() { return this.http.get<T[]>('/api/base'); } }"), ("src/round.ts", "export class Round1 extends Round2 { }\nexport class Round2 extends Round1 { }")]
+    more = table(spark, d, "region").limit(1).select(F.inline(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in few])))
+    return services.unionByName(nations).unionByName(slugs).unionByName(more).select(F.lit("web").alias("project"), "path", "text")
 
 
 def migrations(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import extraction as X
+from loomgraph.operators import messaging
 
 TREE = {
     "src/ParcelController.java": '''package a; // note: not code;
@@ -114,7 +115,7 @@ def test_data_types_and_queries(tree):
 def test_clients_topics_and_security(tree):
     f, s, m, settings = tree
     assert {tuple(r)[1:] for r in X.client_calls(m, settings).collect()} == {("stock", "stock-svc", "stock.url", "GET", "/v1/items/{id}", None, "ItemDto"), ("stock", "stock-svc", "stock.url", "POST", "/v1/items", "ItemRequest", None)}
-    assert {tuple(r)[1:] for r in X.topics(s, m, settings).collect()} == {("arrivals", "consumer", "in.topic", "g1"), ("raw", "both", None, "g1"), ("parcel-done", "producer", None, None)}
+    assert {tuple(r)[1:] for r in messaging.topics(s, m, settings).collect()} == {("arrivals", "consumer", "in.topic", "g1", None), ("raw", "both", None, "g1", None), ("parcel-done", "producer", None, None, None)}
     r = X.security_facts(f).where("project = 'post'").first()
     assert r.web_security and not r.jwt and r.open_paths == ["/h", "/open/**"] and r.closed_paths == ["/in"]
 
@@ -135,5 +136,5 @@ def test_empty_tree(tree):
     files = tree[0].limit(0)
     s = X.java_statements(files)
     m = X.java_members(s)
-    for out in [X.endpoints(m), X.beans(m), X.method_calls(s, m), X.entities(m), X.topics(s, m, tree[3]), X.components(files), X.http_calls(files), X.migrations(files)]:
+    for out in [X.endpoints(m), X.beans(m), X.method_calls(s, m), X.entities(m), messaging.topics(s, m, tree[3]), X.components(files), X.http_calls(files), X.migrations(files)]:
         assert out.where(F.lit(True)).count() == 0
