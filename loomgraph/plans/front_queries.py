@@ -15,6 +15,7 @@ from ..session import materialize, table
 from . import sources
 from .catalogue import _ENDPOINTS, _NODES, _SLUG, _SLUG_SQL, query
 from ..operators import graph
+from ..operators.pieces import code_pieces
 
 _BOXES, _SEGMENTS = ["components", "pages", "shared"], ["Machinery", "Building", "Automobile", "Household", "Furniture"]
 _WEB = f"""web as (select *, 'src/app/' || box || '/' || slug || '/page-' || page_id || '.component.ts' as path, array_to_string(list_transform(string_split(slug, '-'), lambda x: upper(x[1]) || lower(x[2:])), ' ') as title
@@ -175,7 +176,7 @@ def digest_chunks(spark, d):
 
 @query("""with t as (select o_custkey, count(*) as n from orders join customer on o_custkey = c_custkey group by 1) select 'src/Customer' || o_custkey || 'Controller.java' as path, case when n < 2 then 1 else n + 1 end as pieces from t""")
 def semantic_chunks(spark, d):
-    pieces = chunking.code_pieces(sources.controllers(spark, d).select("path", "text"))
+    pieces = code_pieces(sources.controllers(spark, d).select("path", "text"))
     return pieces.groupBy("path").agg(F.count(F.lit(1)).alias("pieces"))
 
 
