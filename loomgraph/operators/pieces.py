@@ -61,7 +61,7 @@ def code_pieces(files: DataFrame, split: Callable[[DataFrame], DataFrame] = char
     """
     script = F.endswith("path", F.lit(".ts"))
     divided = files.where(F.endswith("path", F.lit(".java")) | script)
-    head = F.regexp_replace(F.regexp_extract("code", r"^([^{]*)\{", 1), _MARK, " ")
+    head = F.regexp_extract(F.regexp_replace("code", _MARK, " "), r"^([^{]*)\{", 1)
     units = _units(divided).withColumn("head", F.trim(F.regexp_replace(head, r"\s+", " ")))
     kind = F.regexp_extract("head", r"\b(?:class|interface|enum|record)\s+(\w+)", 1)
     allowed = F.when(script, F.col("depth") <= 1).otherwise(F.col("depth") == 1)
