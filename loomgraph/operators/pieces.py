@@ -20,6 +20,7 @@ from .chunking import char_chunks
 # Words before parentheses that begin no method.
 NO_METHODS = ["if", "for", "while", "switch", "catch", "try", "synchronized", "return", "new", "function", "else", "do", "with", "throw"]
 _LITERAL = r"\"(?:\\.|[^\"\\])*+\"|'(?:\\.|[^'\\])*+'|`(?:\\.|[^`\\])*+`"
+_PARAMS = r"\((?:[^(){}]|\([^(){}]*\))*+\)"
 _MARK = r"@\w+(?:\.\w+)*(?:\s*\((?:[^()]|\([^()]*\))*+\))?"
 
 
@@ -45,8 +46,8 @@ def _units(files: DataFrame) -> DataFrame:
 
 def _named(head: Column, script: Column) -> Column:
     """The method that a unit's head declares, else null."""
-    java = F.regexp_extract(head, r"(\w+)\s*\([^={}]*\)\s*(?:throws\s+[\w.,\s]+)?$", 1)
-    method = F.regexp_extract(head, r"(\w+)\s*(?:<[^<>]*>)?\s*\([^{}]*\)\s*(?::\s*[^=(){}]+)?$", 1)
+    java = F.regexp_extract(head, rf"^[^=]*?(\w+)\s*{_PARAMS}\s*(?:throws\s+[\w.,\s]+)?$", 1)
+    method = F.regexp_extract(head, rf"(\w+)\s*(?:<[^<>]*>)?\s*{_PARAMS}\s*(?::\s*[^=(){{}}]+)?$", 1)
     arrow = F.regexp_extract(head, r"(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>$", 1)
     function = F.regexp_extract(head, r"\bfunction\s*\*?\s*(\w+)", 1)
     named = F.when(~script, java).when(function != "", function).when(arrow != "", arrow).otherwise(method)

@@ -57,7 +57,7 @@ def backends(spark, d) -> DataFrame:
 
 
 def http_calls(spark, d) -> DataFrame:
-    e = endpoints(spark, d).where("o_orderkey % 50 = 0 and project <> 'furniture'")
+    e = endpoints(spark, d).where("project <> 'furniture'")  # whose service makes none of its own
     return e.select(F.lit("web").alias("project"), F.concat(F.initcap("project"), F.lit("Service")).alias("service"), "method", F.concat(F.lit("https://gw.example.com"), "path", F.lit("?x=1")).alias("url"))
 
 
@@ -70,7 +70,7 @@ def edges(spark, d) -> DataFrame:
     return codegraph.union_edges(parts)
 
 
-_HTTP = f"""calls as (select upper(project[1]) || project[2:] || 'Service' as service, project, method, path from (select *, o_orderkey as k from endpoints) where k % 50 = 0 and project <> 'furniture'),
+_HTTP = f"""calls as (select upper(project[1]) || project[2:] || 'Service' as service, project, method, path from endpoints where project <> 'furniture'),
  used as (select distinct unnest(services) as service from web),
  http as (select distinct 'angular_service::web::' || service as src, 'endpoint::' || project || '::' || method || '::' || path as dst, 'http_call' as type, service || '.' || lower(method) || '() → ' || regexp_replace(path, '\\{{[^}}]*\\}}', '*', 'g') as label from calls)"""
 _FEATURES = """features as (select 'user_function::web::' || slug as id, slug as feature_key, any_value(title) as name, min_by(name, path) as entry_components,
@@ -105,10 +105,10 @@ def frontend_edges(spark, d):
 
 
 @query(f"""with {_ENDPOINTS} select distinct 'angular_service::web::' || upper(project[1]) || project[2:] || 'Service' as src, 'endpoint::' || project || '::' || method || '::' || path as dst, 'http_call' as type,
- upper(project[1]) || project[2:] || 'Service.load → ' || project || ' ' || method || ' /orders/' || o_orderkey || '/{{id}}' as label from endpoints where o_orderkey % 50 = 1""")
+ upper(project[1]) || project[2:] || 'Service.load → ' || project || ' ' || method || ' /orders/' || o_orderkey || '/{{id}}' as label from endpoints""")
 def contract_edges(spark, d):
     e = endpoints(spark, d)
-    made = e.where("o_orderkey % 50 = 1").select(F.lit("web").alias("caller"), F.col("project").alias("service"), F.format_string("%s /orders/%d/{id}", "method", "o_orderkey").alias("endpoint"), F.concat(F.initcap("project"), F.lit("Service.load")).alias("angular_service"))
+    made = e.select(F.lit("web").alias("caller"), F.col("project").alias("service"), F.format_string("%s /orders/%d/{id}", "method", "o_orderkey").alias("endpoint"), F.concat(F.initcap("project"), F.lit("Service.load")).alias("angular_service"))
     known = e.select(F.lit("web").alias("project"), F.concat(F.initcap("project"), F.lit("Service")).alias("name")).distinct()
     return codegraph.contract_edges(made, known, e)
 
