@@ -122,3 +122,32 @@ def settings(spark: SparkSession, d: str) -> DataFrame:
     """project, key, value of the clients' projects."""
     n = table(spark, d, "nation")
     return n.select(_slug("n_name").alias("project"), F.lit("region.url").alias("key"), F.format_string("https://region-%d/", "n_regionkey").alias("value"))
+
+
+def nation_files(spark: SparkSession, d: str) -> DataFrame:
+    """For each nation an exception handler with a task, a build file that its suppliers are dependencies of, and a store."""
+    n = table(spark, d, "nation")
+    advice = F.format_string(
+        '@ControllerAdvice\npublic class Nation%dAdvice {\n  @ExceptionHandler({Worse%d.class, Bad%d.class})\n  public String bad() { return "x"; }\n  @Scheduled(cron = "0 %d * * * *")\n  public void tick%d() { }\n}\n',
+        "n_nationkey", "n_nationkey", "n_regionkey", "n_nationkey", "n_nationkey",
+    )
+    one = F.format_string("<dependency><groupId>s</groupId><artifactId>supplier-%d</artifactId><version>%d</version></dependency>\n", "s_suppkey", "s_nationkey")
+    needs = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(_joined(one, "s_suppkey").alias("needs"))
+    store = lambda kind, made: F.struct(F.format_string(f"src/cart-%d.{kind}.ts", "n_nationkey").alias("path"), made.alias("text"))
+    files = [
+        F.struct(F.format_string("src/Nation%dAdvice.java", "n_nationkey").alias("path"), advice.alias("text")),
+        F.struct(F.lit("pom.xml").alias("path"), F.concat(F.lit("<project>\n"), F.coalesce("needs", F.lit("")), F.lit("</project>")).alias("text")),
+        store("actions", F.format_string("export const add%d = createAction('a');\nexport const drop = createAction('d');", "n_nationkey")),
+        store("selectors", F.format_string("export const all%d = createSelector(a, b);", "n_regionkey")),
+    ]
+    return n.join(needs, "n_nationkey", "left").select(_slug("n_name").alias("project"), F.inline(F.array(*files)))
+
+
+def page_components(spark: SparkSession, d: str) -> DataFrame:
+    """A component for each page, with its template beside it."""
+    p = table(spark, d, "pages")
+    text = F.format_string("@Component({ selector: 'page-%d' })\nexport class Page%dComponent { @Input() b; @Input() a; @Output() done; constructor(private s: Site%dService, r: Router) {} }", "page_id", "page_id", F.col("page_id") % 7)
+    page = F.when(F.col("page_id") % 2 == 0, F.lit('<b (click)="f()" (blur)="g()"></b>'))
+    stem = F.format_string("src/page-%d.component", "page_id")
+    files = F.array(F.struct(F.concat(stem, F.lit(".ts")).alias("path"), text.alias("text")), F.struct(F.concat(stem, F.lit(".html")).alias("path"), page.alias("text")))
+    return p.select(F.lit("web").alias("project"), F.inline(files)).where("text is not null")
