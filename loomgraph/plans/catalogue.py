@@ -235,15 +235,15 @@ def node_chunks(spark, d):
     return graph.node_chunks(*graph.relational_graph(spark, d))
 
 
-_KNN = """probes as (select vec_id as probe_id, embedding as probe from embeddings where vec_id in (select min(vec_id) from embeddings group by label) order by vec_id limit 10),
+_KNN = """probes as (select vec_id as probe_id, embedding as probe from embeddings where vec_id % 20 = 0),
  hits as (select probe_id, row_number() over (partition by probe_id order by distance, vec_id) as rank, vec_id, distance from
  (select probe_id, vec_id, round(1 - list_cosine_similarity(embedding::double[], probe::double[]), 6) as distance from embeddings, probes where vec_id <> probe_id))"""
 
 
 def _hits(spark, d, k):
     v = table(spark, d, "embeddings")
-    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("probe"), F.min("vec_id").alias("probe_id"))
-    return vectors.knn_cosine(v.select("vec_id", "embedding"), first.select("probe_id", "probe"), k)
+    probes = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe"))
+    return vectors.knn_cosine(v.select("vec_id", "embedding"), probes, k)
 
 
 @query(f"with {_KNN} select probe_id, rank::int as rank, vec_id, distance from hits where rank <= 8")
@@ -495,7 +495,7 @@ def code_service_dependencies(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import change_queries, chunk_queries, front_queries, trace_queries  # noqa: F401  these register their own
+    from . import change_queries, chunk_queries, front_queries, search_queries, trace_queries  # noqa: F401  these register their own
 
     return dict(QUERIES)
 

@@ -90,11 +90,12 @@ _PATH = "'customer-' || o_custkey || '/order-' || o_orderkey || '.txt'"
 
 
 @query(f"""select o_custkey as id, {_PATH} as path, kind, old_no, new_no, text from orders, unnest([
- {{'kind': 'context', 'old_no': 1, 'new_no': 1, 'text': 'status ' || o_orderstatus}}, {{'kind': 'remove', 'old_no': 2, 'new_no': null, 'text': '-- key ' || o_orderkey}},
- {{'kind': 'add', 'old_no': null, 'new_no': 2, 'text': '-- key ' || (o_orderkey + 1)}}, {{'kind': 'add', 'old_no': null, 'new_no': 3, 'text': 'priority ' || o_orderpriority}},
- {{'kind': 'context', 'old_no': 3, 'new_no': 4, 'text': 'end'}}, {{'kind': 'add', 'old_no': null, 'new_no': 11, 'text': 'tail ' || o_custkey}}]) as u(x), lateral (select x.kind, x.old_no, x.new_no, x.text)""")
+ {{'kind': 'context', 'old_no': 1, 'new_no': 1, 'text': 'status ' || o_orderstatus}}, {{'kind': 'remove', 'old_no': 2, 'new_no': 0, 'text': '-- key ' || o_orderkey}},
+ {{'kind': 'add', 'old_no': 0, 'new_no': 2, 'text': '-- key ' || (o_orderkey + 1)}}, {{'kind': 'add', 'old_no': 0, 'new_no': 3, 'text': 'priority ' || o_orderpriority}},
+ {{'kind': 'context', 'old_no': 3, 'new_no': 4, 'text': 'end'}}, {{'kind': 'add', 'old_no': 0, 'new_no': 11, 'text': 'tail ' || o_custkey}}]) as u(x), lateral (select x.kind, x.old_no, x.new_no, x.text)""")
 def patch_lines(spark, d):
-    return patches.diff_lines(_diffs(spark, d)).select("id", "path", "kind", "old_no", "new_no", "text")
+    place = [F.coalesce(c, F.lit(0)).alias(c) for c in ("old_no", "new_no")]
+    return patches.diff_lines(_diffs(spark, d)).select("id", "path", "kind", *place, "text")
 
 
 @query(f"""select {_PATH} as path, 'status ' || o_orderstatus || chr(10) || '-- key ' || (o_orderkey + 1) || chr(10) || 'priority ' || o_orderpriority || chr(10) || 'end' || chr(10)
