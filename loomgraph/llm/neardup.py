@@ -34,6 +34,8 @@ HASHES, TREES, DEPTH, NEAR, FIRST_TREES = 128, 32, 8, 3, 3
 DIFFERENT = 36
 #: Buckets of shingle counts that order shingles by rarity; postings of one shingle that one part of the join holds.
 BUCKETS, PART = 1 << 20, 2000
+#: A shingle in more texts of a crowd than this, and than four times the mean, is frequent.
+FREQUENT = 64
 _R = np.random.default_rng(7)
 _FLIP, _FACTOR = _R.integers(0, 1 << 32, HASHES, dtype=np.uint32), _R.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 
@@ -178,56 +180,97 @@ def _packed(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"at": [bucket[0] >> 14 << 14], "ranks": [out.tobytes()]})
 
 
-def _prefixes(rank: np.ndarray, percent: int):
-    """The rarest shingles of each text: two similar texts share one of them."""
+def _prefixes(rank: np.ndarray, often: int, percent: int):
+    """The rarest shingles of each text (two similar texts share one of them), whether each is frequent, and how many frequent
+    ones the whole set (f) and its prefix (fp) have. Frequent ones are left out where no link can rest on them alone."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts = f["text"].tolist()
             for a, b in batches(texts):
-                sets, keys, places = shingles(texts[a:b]), [], []
-                for x in sets:
+                sets, cols = shingles(texts[a:b]), {x: [] for x in ("at", "n", "f", "fp", "p", "key", "often")}
+                for i, x in enumerate(sets):
                     keep = len(x) + (-percent * len(x)) // 100 + 1
-                    keys.append(x[np.lexsort((x, rank[(x & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:keep]].view(np.int64))
-                    places.append(np.arange(keep))
-                if keys:
-                    times = [len(k) for k in keys]
-                    whole = {name: np.repeat(f[name].to_numpy()[a:b], times) for name in ("th", "c")}
-                    yield pd.DataFrame(whole | {"n": np.repeat([len(x) for x in sets], times), "p": np.concatenate(places), "key": np.concatenate(keys)})
+                    ranks = rank[(x & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                    order = np.lexsort((x, ranks))[:keep]
+                    common = ranks[order] > often
+                    total, here = int((ranks > often).sum()), int(common.sum())
+                    used = np.flatnonzero(~common | (100 * total >= percent * len(x)))
+                    for name, value in (("at", i), ("n", len(x)), ("f", total), ("fp", here)):
+                        cols[name].append(np.full(len(used), value))
+                    cols["p"].append(used)
+                    cols["key"].append(x[order][used].view(np.int64))
+                    cols["often"].append(common[used])
+                if sets:
+                    whole = {name: np.concatenate(v) for name, v in cols.items()}
+                    at = a + whole.pop("at")
+                    yield pd.DataFrame({name: f[name].to_numpy()[at] for name in ("th", "c")} | whole)
 
     return run
 
 
+def _met(x: DataFrame, y: DataFrame, more, percent: int) -> DataFrame:
+    """Rows that meet in a key, of different components, whose sizes and places allow a link."""
+    sizes = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    # an overlap of at least percent / (100 + percent) of both sizes must still be possible behind the shared shingle
+    place = F.expr(f"{100 + percent} * (least(x.p, y.p) + least(x.n - x.p, y.n - y.p)) >= {percent} * (x.n + y.n)")
+    return x.join(y, F.expr("x.key = y.key and x.c <> y.c") & more & sizes & place)
+
+
+def _enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that meet in as many keys as similar sets do."""
+    # similar sets share more than one of their rarest shingles: all they must share but those behind the longer prefix
+    least = F.expr(f"cast(ceil({percent} * (x.n + y.n) / {100 + percent}) as long)")
+    behind = F.expr(f"1 - cast(ceil({percent} * greatest(x.n, y.n) / 100) as long)")
+    both = F.expr("x.fp > 0 and y.fp > 0")  # then all that is not frequent lies in both prefixes
+    apart = F.greatest(least + behind - F.expr("least(x.fp, y.fp)"), F.when(both, least - F.expr("least(x.f, y.f)")).otherwise(0))
+    need = F.when(F.expr("x.often"), least + behind).otherwise(apart)
+    shared = pairs.select(F.least("x.th", "y.th").alias("a"), F.greatest("x.th", "y.th").alias("b"), F.expr("x.key").alias("key"), need.alias("need"))
+    return shared.groupBy("a", "b", "need").agg(F.count_distinct("key").alias("shared")).where("shared >= need").select("a", "b")
+
+
 def crowded_pairs(runs: DataFrame, component: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """All pairs (a, b) of different components, in runs longer than the window, that can be similar; None if no run
-    holds two components."""
+    holds two components.
+
+    A pair that shares a shingle which is not frequent meets in it. A pair that shares frequent ones only must find its
+    whole overlap among them, so the smaller set consists of them for the most part, and the larger one admits few sizes of
+    it: these meet by shingle and class of size. A passage that a whole crowd shares so joins nobody by itself.
+    """
     runs = cut(runs.join(component.select(F.col("node").alias("th"), "component"), "th", "left").select("k", "th", F.coalesce("component", "th").alias("c")), "runs")
     mixed = runs.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
     crowd = cut(runs.join(mixed, "k").select("th", "c").distinct(), "crowd")
     if crowd.isEmpty():
         return None
     texts = cut(texts_of(crowd, classes, docs).join(crowd, "th"), "crowdtexts")
-    counts = texts.mapInPandas(_count_shingles, "bucket long, n long").groupBy("bucket").agg(F.floor(2 * F.log2(F.sum("n"))).cast("int").alias("r"))
+    counts = cut(texts.mapInPandas(_count_shingles, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counts")
+    mean = counts.agg(F.avg("n")).first()[0] or 0
+    level = lambda n: F.floor(2 * F.log2(n)).cast("int")
+    often = int(2 * np.log2(max(FREQUENT, 4 * mean)))
     rank = np.zeros(BUCKETS, np.uint8)
-    for row in counts.groupBy(F.shiftright("bucket", 14)).applyInPandas(_packed, "at long, ranks binary").toLocalIterator():  # a byte for each bucket
+    ranked = counts.select("bucket", level(F.col("n")).alias("r")).groupBy(F.shiftright("bucket", 14))
+    for row in ranked.applyInPandas(_packed, "at long, ranks binary").toLocalIterator():  # a byte for each bucket
         rank[row["at"] : row["at"] + (1 << 14)] = np.frombuffer(row["ranks"], np.uint8)
-    rows = cut(texts.mapInPandas(_prefixes(rank, percent), "th long, c long, n long, p long, key long"), "prefixes")
+    rows = cut(texts.mapInPandas(_prefixes(rank, often, percent), "th long, c long, n long, f long, fp long, p long, key long, often boolean"), "prefixes")
     # pairs of different components have one member outside the key's largest one, whose own pairs are never made
     keys = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
     keys = keys.agg(F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("all")).where("kinds > 1")
     keys = keys.select("key", F.col("x.c").alias("main"), F.ceil(F.col("all") / PART).cast("int").alias("parts"))
     live = cut(rows.join(keys, "key"), "live")
-    x = live.where("c <> main").withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int")).alias("x")
-    y = live.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    once = F.expr("x.c <> y.c and (y.c = y.main or x.th < y.th)")
-    sizes = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    # an overlap of at least percent / (100 + percent) of both sizes must still be possible behind the shared shingle
-    place = F.expr(f"{100 + percent} * (least(x.p, y.p) + least(x.n - x.p, y.n - y.p)) >= {percent} * (x.n + y.n)")
-    pairs = x.join(y, F.expr("x.key = y.key and x.part = y.part") & once & sizes & place)
-    # similar sets share more than one of their rarest shingles: all they must share but those behind the longer prefix
-    need = F.expr(f"cast(ceil({percent} * (x.n + y.n) / {100 + percent}) as long) + 1 - cast(ceil({percent} * greatest(x.n, y.n) / 100) as long)")
-    shared = pairs.select(F.least("x.th", "y.th").alias("a"), F.greatest("x.th", "y.th").alias("b"), need.alias("need"))
-    return shared.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared")).where("shared >= need").select("a", "b")
+    rare = live.where("not often")
+    x = rare.where("c <> main").withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int")).alias("x")
+    y = rare.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    pairs = _enough(_met(x, y, F.expr("x.part = y.part and (y.c = y.main or x.th < y.th)"), percent), percent)
+    size = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05))).cast("int")
+    whole = live.where("often")
+    # with the smaller set's size m: percent * (n + m) <= (100 + percent) * f for both
+    most = F.least(F.col("n"), F.floor(F.col("f") * (100 + percent) / percent) - F.col("n"))
+    larger = whole.withColumns({"most": most, "fewest": F.ceil(F.col("n") * percent / 100)}).where("most >= fewest").withColumn("size", F.explode(F.sequence(size(F.col("fewest")), size(F.col("most"))))).alias("x")
+    smaller = whole.where(f"{100 + percent} * f >= {2 * percent} * n").withColumn("size", size(F.col("n"))).alias("y")
+    fits = F.expr(f"x.size = y.size and x.n >= y.n and {100 + percent} * least(x.f, y.f) >= {percent} * (x.n + y.n)")
+    for one, other in ((larger.where("c <> main"), smaller), (larger.where("c = main"), smaller.where("c <> main"))):
+        pairs = pairs.unionByName(_enough(_met(one.alias("x"), other.alias("y"), fits, percent), percent))
+    return pairs.distinct()
 
 
 def _verify(percent: int):

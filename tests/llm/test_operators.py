@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import katz, repeats
+from loomgraph.llm import katz, neardup, repeats
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.decontamination import contamination
 from loomgraph.llm.katz import katz_scores
@@ -97,6 +97,44 @@ def test_near_duplicates_in_a_crowd(spark):
     assert got == {i: min(i, 10_000) for i, _ in rows}
 
 
+def test_a_crowd_does_not_meet_itself(spark, monkeypatch):
+    """Three times the documents around one passage make at most four times the joined rows; components equal brute force."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    passage = [r.choice(words) for _ in range(242)]
+    texts = []
+    for i in range(1500):
+        own = r.choice([50, 55, 60, 62, 65, 70, 75, 90]) if i % 3 else r.choice([20, 57, 64, 80, 120])
+        texts.append((i, " ".join(passage[: r.choice([242, 242, 200])] + [r.choice(words) for _ in range(own)])))
+    met, made = neardup._met, []
+
+    def counted(*args):
+        out = met(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_met", counted)
+    few = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(texts[:500], "doc_id long, text string")).collect()}
+    rows = sum(made)
+    made.clear()
+    near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sum(made) <= 4 * max(rows, 5000), (rows, made)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, x.split()) for i, x in texts[:500])}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and find(a) != find(b):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert few == {i: find(i) for i in sets}
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
