@@ -320,9 +320,22 @@ def build_dependencies(files: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+#: What changes of a changelog are read, and their columns.
+_CHANGE = "array<struct<_tableName:string,column:array<struct<_name:string,_type:string>>>>"
+_CHANGELOG = f"changeSet array<struct<createTable:{_CHANGE},addColumn:{_CHANGE}>>"
+
+
 def migrations(files: DataFrame) -> DataFrame:
-    """project, file, tables (in order of appearance), columns (`name:type`, six at most) of versioned SQL files."""
+    """project, file, tables (in order of appearance), columns (`name:type`, six at most) of versioned SQL files and of
+    changelogs in XML; a changelog that names no table gives no row, one that cannot be read no columns."""
     m = _of(files, r"(?:^|/)V[\w.]*\.sql$")
-    tables = F.array_distinct(_all(F.col("text"), r"(?i)(?:create|alter)\s+table\s+(?:if\s+(?:not\s+)?exists\s+)?[\"`]?(\w+)"))
+    tables = F.array_distinct(_all(F.col("text"), r"(?i)(?:create|alter|drop)\s+table\s+(?:if\s+(?:not\s+)?exists\s+)?[\"`]?(\w+)"))
     added = F.slice(F.transform(_all(F.col("text"), r"(?i)add\s+column\s+(?:if\s+not\s+exists\s+)?(\w+\s+\w+)"), lambda c: F.regexp_replace(c, r"\s+", ":")), 1, 6)
-    return m.select("project", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), tables.alias("tables"), added.alias("columns"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
+    sql = m.select("project", name, tables.alias("tables"), added.alias("columns"))
+    logs = _of(files, r"(?:^|/)db\.changelog[^/]*\.xml$").withColumn("x", F.from_xml("text", _CHANGELOG, {"mode": "PERMISSIVE"}))
+    named = F.array_distinct(_all(F.col("text"), r"\btableName\s*=\s*[\"'](\w+)[\"']"))
+    new = F.flatten(F.transform(F.coalesce("x.changeSet", F.array()), lambda s: F.coalesce(s["addColumn"], F.array())))
+    columns = F.flatten(F.transform(new, lambda c: F.transform(F.coalesce(c["column"], F.array()), lambda k: F.concat_ws(":", k["_name"], k["_type"]))))
+    xml = logs.select("project", name, named.alias("tables"), F.slice(columns, 1, 6).alias("columns")).where("size(tables) > 0")
+    return sql.unionByName(xml)

@@ -54,6 +54,31 @@ def _named(head: Column, script: Column) -> Column:
     return F.when((named != "") & ~named.isin(NO_METHODS), named)
 
 
+def _methods(files: DataFrame) -> DataFrame:
+    """Units with their order, the class (cls) and method that they declare, and text."""
+    script = F.endswith("path", F.lit(".ts"))
+    head = F.regexp_extract(F.regexp_replace("code", _MARK, " "), r"^([^{]*)\{", 1)
+    units = _units(files).withColumn("head", F.trim(F.regexp_replace(head, r"\s+", " ")))
+    kind = F.regexp_extract("head", r"\b(?:class|interface|enum|record)\s+(\w+)", 1)
+    allowed = F.when(script, F.col("depth") <= 1).otherwise(F.col("depth") == 1)
+    return units.withColumn("cls", F.nullif(kind, F.lit(""))).withColumn("method", F.when(F.col("cls").isNull() & allowed, _named(F.col("head"), script)))
+
+
+def method_texts(files: DataFrame) -> DataFrame:
+    """files(path, text) -> path, class_name, method_name, no (its place in the file), text: each method of Java and script files,
+    with what stands above it, however few there are."""
+    order = Window.partitionBy("path").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
+    units = _methods(files.where(F.rlike("path", F.lit(r"\.(?:java|ts)$")))).withColumn("class_name", F.last("cls", True).over(order))
+    return units.where("method is not null").select("path", "class_name", F.col("method").alias("method_name"), F.col("unit").alias("no"), "text")
+
+
+def body(text: Column) -> Column:
+    """A method's text from its opening brace on; braces in comments, strings and parentheses are passed over."""
+    string = r"\"(?:[^\"\\]|\\.)*+\""
+    above = rf"^(?:/\*(?:[^*]|\*(?!/))*+\*/|\((?:[^()\"]|{string}|\([^()]*\))*+\)|{string}|[^{{\"(/]|/(?!\*))*+(?=\{{)"
+    return F.regexp_replace(F.regexp_replace(text, above, ""), r"\s+$", "")
+
+
 def code_pieces(files: DataFrame, split: Callable[[DataFrame], DataFrame] = char_chunks) -> DataFrame:
     """files(path, text) -> path, idx, content, class_name, method_name.
 
@@ -61,12 +86,7 @@ def code_pieces(files: DataFrame, split: Callable[[DataFrame], DataFrame] = char
     ones divided by `split` (doc_id, text -> doc_id, idx, content); other texts are divided by `split` only.
     """
     script = F.endswith("path", F.lit(".ts"))
-    divided = files.where(F.endswith("path", F.lit(".java")) | script)
-    head = F.regexp_extract(F.regexp_replace("code", _MARK, " "), r"^([^{]*)\{", 1)
-    units = _units(divided).withColumn("head", F.trim(F.regexp_replace(head, r"\s+", " ")))
-    kind = F.regexp_extract("head", r"\b(?:class|interface|enum|record)\s+(\w+)", 1)
-    allowed = F.when(script, F.col("depth") <= 1).otherwise(F.col("depth") == 1)
-    units = units.withColumn("cls", F.nullif(kind, F.lit(""))).withColumn("method", F.when(F.col("cls").isNull() & allowed, _named(F.col("head"), script)))
+    units = _methods(files.where(F.endswith("path", F.lit(".java")) | script))
     order = Window.partitionBy("path").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
     units = units.withColumns({"seg": F.count("method").over(order), "cls": F.last("cls", True).over(order)})
     last = F.max("unit").over(Window.partitionBy("path"))
