@@ -209,12 +209,15 @@ def _prefixes(rank: np.ndarray, often: int, percent: int):
     return run
 
 
-def _met(x: DataFrame, y: DataFrame, more, percent: int) -> DataFrame:
-    """Rows that meet in a key, of different components, whose sizes and places allow a link."""
+def _met(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Rows that meet in a key and a slot, of different components, whose sizes and places allow a link, each pair once a key."""
+    once = F.when(F.col("x.often"), F.expr("x.n > y.n or x.n = y.n and x.th < y.th")).otherwise(F.expr("y.c = y.main or x.th < y.th"))
+    # a pair that shares frequent shingles only has its whole overlap among them
+    rests = F.expr(f"not x.often or {100 + percent} * least(x.f, y.f) >= {percent} * (x.n + y.n)")
     sizes = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     # an overlap of at least percent / (100 + percent) of both sizes must still be possible behind the shared shingle
     place = F.expr(f"{100 + percent} * (least(x.p, y.p) + least(x.n - x.p, y.n - y.p)) >= {percent} * (x.n + y.n)")
-    return x.join(y, F.expr("x.key = y.key and x.c <> y.c") & more & sizes & place)
+    return x.alias("x").join(y.alias("y"), F.expr("x.key = y.key and x.slot = y.slot and x.c <> y.c") & once & rests & sizes & place)
 
 
 def _enough(pairs: DataFrame, percent: int) -> DataFrame:
@@ -225,8 +228,8 @@ def _enough(pairs: DataFrame, percent: int) -> DataFrame:
     both = F.expr("x.fp > 0 and y.fp > 0")  # then all that is not frequent lies in both prefixes
     apart = F.greatest(least + behind - F.expr("least(x.fp, y.fp)"), F.when(both, least - F.expr("least(x.f, y.f)")).otherwise(0))
     need = F.when(F.expr("x.often"), least + behind).otherwise(apart)
-    shared = pairs.select(F.least("x.th", "y.th").alias("a"), F.greatest("x.th", "y.th").alias("b"), F.expr("x.key").alias("key"), need.alias("need"))
-    return shared.groupBy("a", "b", "need").agg(F.count_distinct("key").alias("shared")).where("shared >= need").select("a", "b")
+    shared = pairs.select(F.least("x.th", "y.th").alias("a"), F.greatest("x.th", "y.th").alias("b"), need.alias("need"))
+    return shared.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared")).where("shared >= need").select("a", "b")
 
 
 def crowded_pairs(runs: DataFrame, component: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
@@ -243,34 +246,32 @@ def crowded_pairs(runs: DataFrame, component: DataFrame, classes: DataFrame, doc
     if crowd.isEmpty():
         return None
     texts = cut(texts_of(crowd, classes, docs).join(crowd, "th"), "crowdtexts")
-    counts = cut(texts.mapInPandas(_count_shingles, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counts")
-    mean = counts.agg(F.avg("n")).first()[0] or 0
-    level = lambda n: F.floor(2 * F.log2(n)).cast("int")
-    often = int(2 * np.log2(max(FREQUENT, 4 * mean)))
+    counts = texts.mapInPandas(_count_shingles, "bucket long, n long").groupBy("bucket").agg(F.floor(2 * F.log2(F.sum("n"))).cast("int").alias("r"))
     rank = np.zeros(BUCKETS, np.uint8)
-    ranked = counts.select("bucket", level(F.col("n")).alias("r")).groupBy(F.shiftright("bucket", 14))
-    for row in ranked.applyInPandas(_packed, "at long, ranks binary").toLocalIterator():  # a byte for each bucket
+    for row in counts.groupBy(F.shiftright("bucket", 14)).applyInPandas(_packed, "at long, ranks binary").toLocalIterator():  # a byte for each bucket
         rank[row["at"] : row["at"] + (1 << 14)] = np.frombuffer(row["ranks"], np.uint8)
+    mean = float((2.0 ** (np.arange(256) / 2) * np.bincount(rank, minlength=256)).sum()) / BUCKETS
+    often = int(2 * np.log2(max(FREQUENT, 4 * mean)))
     rows = cut(texts.mapInPandas(_prefixes(rank, often, percent), "th long, c long, n long, f long, fp long, p long, key long, often boolean"), "prefixes")
     # pairs of different components have one member outside the key's largest one, whose own pairs are never made
     keys = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
     keys = keys.agg(F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("all")).where("kinds > 1")
     keys = keys.select("key", F.col("x.c").alias("main"), F.ceil(F.col("all") / PART).cast("int").alias("parts"))
     live = cut(rows.join(keys, "key"), "live")
-    rare = live.where("not often")
-    x = rare.where("c <> main").withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int")).alias("x")
-    y = rare.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    pairs = _enough(_met(x, y, F.expr("x.part = y.part and (y.c = y.main or x.th < y.th)"), percent), percent)
-    size = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05))).cast("int")
-    whole = live.where("often")
-    # with the smaller set's size m: percent * (n + m) <= (100 + percent) * f for both
+    apart = F.col("c") != F.col("main")
+    size = lambda n: 2 * F.floor(F.log(n) / F.log(F.lit(1.2))).cast("int")
+    none = F.array().cast("array<int>")
+    # rare keys: members outside the largest component, by parts, meet all others in each part. Frequent keys: a set meets
+    # smaller ones by the classes of size that it admits (percent * (n + m) <= (100 + percent) * f, m the smaller size), in an
+    # odd slot if it is in the largest component, where only sets outside that one wait
     most = F.least(F.col("n"), F.floor(F.col("f") * (100 + percent) / percent) - F.col("n"))
-    larger = whole.withColumns({"most": most, "fewest": F.ceil(F.col("n") * percent / 100)}).where("most >= fewest").withColumn("size", F.explode(F.sequence(size(F.col("fewest")), size(F.col("most"))))).alias("x")
-    smaller = whole.where(f"{100 + percent} * f >= {2 * percent} * n").withColumn("size", size(F.col("n"))).alias("y")
-    fits = F.expr(f"x.size = y.size and x.n >= y.n and {100 + percent} * least(x.f, y.f) >= {percent} * (x.n + y.n)")
-    for one, other in ((larger.where("c <> main"), smaller), (larger.where("c = main"), smaller.where("c <> main"))):
-        pairs = pairs.unionByName(_enough(_met(one.alias("x"), other.alias("y"), fits, percent), percent))
-    return pairs.distinct()
+    fewest = F.ceil(F.col("n") * percent / 100)
+    admits = F.transform(F.sequence(size(fewest), size(most), F.lit(2)), lambda k: k + F.when(apart, 0).otherwise(1))
+    x = live.withColumn("slot", F.explode(F.when(~F.col("often"), F.when(apart, F.array(F.pmod(F.xxhash64("th"), F.col("parts")).cast("int"))).otherwise(none)).when(most >= fewest, admits).otherwise(none)))
+    own = size(F.col("n"))
+    waits = F.when(apart, F.array(own, own + 1)).otherwise(F.array(own))
+    y = live.withColumn("slot", F.explode(F.when(~F.col("often"), F.sequence(F.lit(0), F.col("parts") - 1)).when(F.expr(f"{100 + percent} * f >= {2 * percent} * n"), waits).otherwise(none)))
+    return _enough(_met(x, y, percent), percent).distinct()
 
 
 def _verify(percent: int):
