@@ -495,7 +495,7 @@ def code_service_dependencies(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import change_queries, chunk_queries, front_queries, search_queries, tool_queries, trace_queries  # noqa: F401  these register their own
+    from . import change_queries, chunk_queries, front_queries, graph_queries, search_queries, tool_queries, trace_queries  # noqa: F401  these register their own
 
     return dict(QUERIES)
 

@@ -151,3 +151,17 @@ def page_components(spark: SparkSession, d: str) -> DataFrame:
     stem = F.format_string("src/page-%d.component", "page_id")
     files = F.array(F.struct(F.concat(stem, F.lit(".ts")).alias("path"), text.alias("text")), F.struct(F.concat(stem, F.lit(".html")).alias("path"), page.alias("text")))
     return p.select(F.lit("web").alias("project"), F.inline(files)).where("text is not null")
+
+
+def stores(spark: SparkSession, d: str) -> DataFrame:
+    """For each nation a service, its repository, and an entity that is related to another one."""
+    n = table(spark, d, "nation")
+    k = "n_nationkey"
+    files = [
+        ("Service", F.format_string("@Service\npublic class Nation%dService {\n  private final Nation%dRepository rows;\n  public void all() { rows.findAll(); }\n}\n", k, k)),
+        ("Repository", F.format_string("public interface Nation%dRepository extends JpaRepository<Nation%d, Long> {\n  List<Nation%d> findByRegionKey(int k);\n}\n", k, k, k)),
+        ("", F.format_string('@Entity\n@Table(name = "nation_%d")\npublic class Nation%d {\n  private Long id;\n  @OneToMany private List<Local> locals;\n}\n', k, k)),
+    ]
+    made = [F.struct(F.concat(F.format_string("src/Nation%d", k), F.lit(f"{kind}.java")).alias("path"), text.alias("text")) for kind, text in files]
+    local = F.struct(F.lit("src/Local.java").alias("path"), F.lit("@Entity\npublic class Local {\n  private Long id;\n}\n").alias("text"))
+    return n.select(_slug("n_name").alias("project"), F.inline(F.array(*made, local)))
