@@ -13,7 +13,7 @@ from ..operators import chunking, codegraph, dialogue, extraction, frontend, gra
 from ..session import materialize, table
 from ..streaming import debounce as quiet
 from . import sources
-from .planner import rule_plan
+from .planner import TRIGGERS, rule_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,14 +339,69 @@ def detect_mode(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.detect_mode(F.col("text")).alias("mode"))
 
 
-@query()
-def rule_plans(spark, d):
-    """Checked against a plain reading of the branch table in the tests."""
-    c = table(spark, d, "conversations").where("role = 'user'")
+def _says(words: list[str]) -> str:
+    return "(" + " or ".join(f"contains(low, '{w}')" for w in words) + ")"
+
+
+_TOOLS = {name: _says(words) for name, words in TRIGGERS.items()}
+_MODE = "case " + " ".join(f"when {_says(words)} then '{mode}'" for mode, words in T.MODE_WORDS.items()) + " else 'chat' end"
+_CALL = "{{'tool': '{}', 'input': {}}}".format
+_SEARCH, _DEEP = _CALL("search_codebase", "q"), _CALL("search_deep", "q")
+_HAS = lambda when, made: f"case when {when} then {made} end"
+_TRACE, _SUBJECT_CALLS = _HAS("path <> ''", _CALL("trace_request", "path")), _HAS("subject <> ''", _CALL("get_method_calls", "subject"))
+_BRANCHES = [
+    (f"mode = 'impact' or {_TOOLS['impact']}", [_CALL("impact_graph", "topic"), _SEARCH]),
+    (_TOOLS["features"], [_CALL("list_features", "''"), _DEEP]),
+    (_TOOLS["flow"], [_HAS("subject <> ''", _CALL("describe_feature", "subject")), _TRACE, _CALL("search_deep", "'controller endpoint handler ' || topic"), _DEEP, _HAS("subject <> '' and path = ''", _CALL("get_method_calls", "subject"))]),
+    ("mode = 'deep'", [_TRACE, _DEEP, _SUBJECT_CALLS, _HAS("path = ''", _CALL("get_api_contracts", "''"))]),
+    (f"mode = 'generate' or {_TOOLS['generate']}", [_SEARCH, _HAS("subject <> ''", _CALL("get_entity_schema", "subject"))]),
+    (f"{_TOOLS['source']} and regexp_matches(q, '\\b[a-z][A-Za-z]+[A-Z][a-z]')", [_CALL("get_method_implementation", "target"), _CALL("get_method_calls", "topic"), _DEEP]),
+    (_TOOLS["api"], [_CALL("get_all_endpoints", "topic"), _CALL("get_external_calls", "topic"), _DEEP]),
+    (_TOOLS["schema"], [_CALL("get_entity_schema", "topic"), _CALL("search_deep", "'MongoDB collection document schema ' || topic"), _SEARCH]),
+    (f"{_TOOLS['downstream']} and {_TOOLS['calls']}", [_CALL("get_external_calls", "topic"), _DEEP]),
+    (_TOOLS["logic"], [_CALL("get_method_implementation", "target"), _CALL("get_method_calls", "topic"), _DEEP]),
+    (_TOOLS["callers"], [_CALL("find_callers", "topic"), _SEARCH]),
+]
+_STOPPED = ", ".join(f"'{w}'" for w in T.SUBJECT_STOP)
+
+
+_PLANNED = f"""with a as (select conv_id, turn, text as q, lower(text) as low, regexp_extract(text, '(/(?:api|v\\d+)/[\\w/{{}}-]+)', 1) as path, regexp_extract(text, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1) as compound,
+ list_filter(regexp_extract_all(text, '\\b([A-Z][a-z]{{2,}})\\b', 1), lambda w: w not in ({_STOPPED})) as single, regexp_extract(text, '\\b([a-z][A-Za-z]+[A-Z][a-z][A-Za-z]*)\\b', 1) as method from @asked),
+ b as (select *, case when compound <> '' then compound else coalesce(single[1], '') end as subject, {_MODE} as mode from a),
+ c as (select *, case when subject <> '' then subject else substring(q, 1, 40) end as topic from b), e as (select *, case when method <> '' then topic || '::' || method else topic end as target from c),
+ plans as (select conv_id, turn, list_filter(case {' '.join(f"when {w} then [{', '.join(calls)}]" for w, calls in _BRANCHES)} else [{_SEARCH}, {_TRACE}] end, lambda x: x is not null) as calls from e),
+ each as (select conv_id, turn, unnest(calls) as call, generate_subscripts(calls, 1) as n from plans), once as (select conv_id, turn, call, min(n) as n from each group by all)
+ select conv_id, turn, (row_number() over (partition by conv_id, turn order by n) - 1)::int as ord, call.tool as tool, call.input as input from once"""
+#: Questions for each branch, about a name.
+_ASKED_OF = [
+    "What would break if I change @Service", "what features has @", "How does @Service work end to end for /api/v1/@/{id}", "trace the flow of @", "tell me deep detailed facts of @Repo", "create a @Entity",
+    "show the source code of loadItems in @Service", "all endpoints of @", "show the db schema of @Order", "downstream feign clients that @Client calls", "how is @Policy applied", "who calls @Repo", "Hello to @ and /api/x",
+]
+
+
+def _plans(c: DataFrame) -> DataFrame:
     plan = c.select("conv_id", "turn", F.posexplode(rule_plan(F.col("text"), T.detect_mode(F.col("text")))).alias("ord", "call"))
     return plan.select("conv_id", "turn", "ord", "call.tool", "call.input")
 
 
+@query(_PLANNED.replace("@asked", "conversations where role = 'user'"))
+def rule_plans(spark, d):
+    """Plans of all questions."""
+    return _plans(table(spark, d, "conversations").where("role = 'user'"))
+
+
+_WHO = "upper(lower(n_name)[1]) || replace(lower(n_name)[2:], ' ', '')"
+
+
+@query(_PLANNED.replace("@asked", f"(select c_custkey as conv_id, i as turn, replace({_ASKED_OF}[i], '@', {_WHO} || case when c_custkey % 2 = 0 then 'Main' else '' end) as text from customer join nation on c_nationkey = n_nationkey, (select unnest(range(1, {len(_ASKED_OF) + 1})) as i))"))
+def plan_branches(spark, d):
+    """Questions of every branch of the planner, about each customer's nation."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.concat(F.upper(F.substring("n_name", 1, 1)), F.replace(F.lower(F.substring("n_name", 2, 99)), F.lit(" "), F.lit("")), F.when(F.col("c_custkey") % 2 == 0, "Main").otherwise(""))
+    asked = c.select(F.col("c_custkey").alias("conv_id"), name.alias("name"), F.posexplode(F.array(*map(F.lit, _ASKED_OF))).alias("i", "t"))
+    return _plans(asked.select("conv_id", (F.col("i") + 1).cast("long").alias("turn"), F.replace("t", F.lit("@"), F.col("name")).alias("text")))
+
+
 @query("""with g as (select *, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
  s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from g)
  select user_id, min(ts) as start, count(*) as n, max_by(event_id, (ts, event_id)) as last_event from s group by user_id, sid""")
