@@ -56,12 +56,25 @@ def manages(beans: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def handled_by(endpoints: DataFrame, beans: DataFrame) -> DataFrame:
-    """Endpoint to the service named like its controller, else to the controller itself."""
+    """Endpoint to the service named like its controller: of its project, of any, or of an equal name but for one suffix; else to
+    the controller itself. Of several the first by name and project."""
     e = endpoints.select("project", "controller", endpoint_id(F.col("project"), F.col("method"), F.col("path")).alias("src"))
-    base = F.regexp_replace("controller", "Controller$", "")
-    b = beans.select("project", "name")
-    tiers = [e.withColumn("name", n).join(b, ["project", "name"]) for n in (F.concat(base, F.lit("Service")), F.concat(base, F.lit("ServiceImpl")), F.col("controller"))]
-    return first_match(tiers, "src", ["name"]).select("src", bean_id(F.col("project"), F.col("name")).alias("dst"), F.lit("handled_by").alias("type"), F.lit("").alias("label"))
+    e = e.withColumn("want", F.concat(F.regexp_replace("controller", "Controller$", ""), F.lit("Service")))
+    asks = e.select("project", "controller", "want").distinct().withColumn("key", F.concat_ws("|", "project", "controller"))
+    stem = T.strip_bean_suffix
+    has = beans.select(F.col("project").alias("tp"), F.col("name").alias("tn"))
+    by_name = has.groupBy("tn").agg(F.min("tp").alias("tp"))
+    by_stem = has.groupBy(stem(F.col("tn")).alias("ts")).agg(F.min(F.struct("tn", "tp")).alias("x")).select("ts", "x.tn", "x.tp")
+    service = F.col("want") != F.lit("Service")
+    tiers = [
+        asks.join(has, (F.col("want") == F.col("tn")) & (F.col("project") == F.col("tp"))),
+        asks.join(by_name, F.col("want") == F.col("tn")),
+        asks.where(service & (F.col("controller") != F.col("want"))).join(by_stem, (stem(F.col("want")) == F.col("ts")) & (F.col("ts") != "")),
+        asks.join(has, (F.col("controller") == F.col("tn")) & (F.col("project") == F.col("tp"))),
+    ]
+    best = first_match([t.select("key", "project", "controller", "tn", "tp") for t in tiers], "key", ["tn", "tp"])
+    out = e.join(best.select("project", "controller", "tn", "tp"), ["project", "controller"])
+    return out.select("src", bean_id(F.col("tp"), F.col("tn")).alias("dst"), F.lit("handled_by").alias("type"), F.lit("").alias("label"))
 
 
 def calls_to_endpoints(calls: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ BEAN_TYPES = {"RestController": "controller", "Controller": "controller", "Servi
 DTO_TOKENS = "DTO|Dto|Request|Response|Payload"
 VALIDATIONS = ["NotNull", "NotEmpty", "NotBlank", "Size", "Min", "Max", "Email", "Pattern", "Positive", "Valid"]
 RELATIONS = "OneToMany|ManyToOne|OneToOne|ManyToMany|DBRef"
-QUERY_VERBS = {"find": "SELECT", "get": "SELECT", "read": "SELECT", "count": "SELECT COUNT", "exists": "SELECT EXISTS", "delete": "DELETE", "remove": "DELETE"}
-QUERY_SUFFIXES = {"GreaterThanEqual": ">= ?", "LessThanEqual": "<= ?", "IsNotNull": "IS NOT NULL", "StartingWith": "LIKE ?%", "EndingWith": "LIKE %?", "GreaterThan": "> ?", "Containing": "LIKE %?%", "LessThan": "< ?", "NotLike": "NOT LIKE ?", "Between": "BETWEEN ? AND ?", "IsNull": "IS NULL", "Before": "< ?", "NotIn": "NOT IN (?)", "After": "> ?", "Like": "LIKE ?", "Not": "<> ?", "In": "IN (?)"}
+QUERY_VERBS = {"findAll": "SELECT ALL", "findFirst": "SELECT FIRST", "findTop": "SELECT TOP", "find": "SELECT", "get": "SELECT", "read": "SELECT", "count": "COUNT", "exists": "EXISTS", "delete": "DELETE", "remove": "DELETE", "stream": "STREAM"}
+CRITERIA = r"(?:mongoTemplate|reactiveMongoTemplate)\s*\.\s*(find\w*|updateMulti|updateFirst|remove|count|exists|upsert)\s*\("
+QUERY_SUFFIXES = {"GreaterThanEqual": ">= ?", "LessThanEqual": "<= ?", "IsNotNull": "IS NOT NULL", "StartingWith": "LIKE ?%", "EndingWith": "LIKE %?", "GreaterThan": "> ?", "Containing": "LIKE %?%", "LessThan": "< ?", "NotLike": "NOT LIKE ?", "Between": "BETWEEN ? AND ?", "IsNull": "IS NULL", "Before": "< ?", "NotIn": "NOT IN (?)", "After": "> ?", "Like": "LIKE ?", "Not": "<> ?", "In": "IN (?)", "True": "= true", "False": "= false"}
 
 _ARGS = r"(?:\(((?:\"[^\"\n]*\"|\([^()]*\)|[^()\"])*+)\))?"
 _END = r"(?<=[;{}])(?=(?:[^\"\n]*+\"[^\"\n]*+\")*+[^\"\n]*+(?:\n|$))"
@@ -243,6 +244,17 @@ def repository_queries(members: DataFrame, most: int = 300) -> DataFrame:
     return m.select("project", F.col("cls").alias("repository"), F.col("name").alias("method"), F.coalesce(written, derived_query(F.col("name"))).alias("query")).where("query is not null")
 
 
+def criteria_queries(statements: DataFrame, members: DataFrame) -> DataFrame:
+    """project, repository, method, query of calls that build their conditions: `[mongoTemplate.find] Item WHERE a = ? AND b = ?`."""
+    each = statements.where("depth > 1 and member is not null").select("project", "path", "member", "no", "stmt", _get(F.col("stmt"), CRITERIA).alias("op")).where("op is not null")
+    named = F.concat(_all(F.col("stmt"), r"Criteria\.where\s*\(\s*\"([^\"]+)\"\s*\)"), _all(F.col("stmt"), r"\.and\s*\(\s*\"([^\"]+)\"\s*\)"))
+    where = F.array_join(F.transform(named, lambda c: F.concat(c, F.lit(" = ?"))), " AND ")
+    target = F.coalesce(_get(F.col("stmt"), r",\s*([A-Z]\w*)\.class\s*\)"), F.lit("?"))
+    said = F.concat(F.lit("[mongoTemplate."), "op", F.lit("] "), target, F.lit(" WHERE "), where)
+    owner = members.where("what = 'method'").select("project", "path", F.col("no").alias("member"), F.col("cls").alias("repository"), F.col("name").alias("method"))
+    return each.where(F.size(named) > 0).select("project", "path", "member", said.alias("query")).join(owner, ["project", "path", "member"]).select("project", "repository", "method", "query")
+
+
 def security_facts(files: DataFrame) -> DataFrame:
     """For each project: what its Java texts say about security and the paths they open or close."""
     java = _of(files, r"\.java$")

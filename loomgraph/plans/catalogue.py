@@ -390,14 +390,14 @@ def rule_plans(spark, d):
     return _plans(table(spark, d, "conversations").where("role = 'user'"))
 
 
-_WHO = "upper(lower(n_name)[1]) || replace(lower(n_name)[2:], ' ', '')"
+_WHO = sources.NATION_NAME
 
 
 @query(_PLANNED.replace("@asked", f"(select c_custkey as conv_id, i as turn, replace({_ASKED_OF}[i], '@', {_WHO} || case when c_custkey % 2 = 0 then 'Main' else '' end) as text from customer join nation on c_nationkey = n_nationkey, (select unnest(range(1, {len(_ASKED_OF) + 1})) as i))"))
 def plan_branches(spark, d):
     """Questions of every branch of the planner, about each customer's nation."""
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    name = F.concat(F.upper(F.substring("n_name", 1, 1)), F.replace(F.lower(F.substring("n_name", 2, 99)), F.lit(" "), F.lit("")), F.when(F.col("c_custkey") % 2 == 0, "Main").otherwise(""))
+    name = F.concat(sources.nation_name(), F.when(F.col("c_custkey") % 2 == 0, "Main").otherwise(""))
     asked = c.select(F.col("c_custkey").alias("conv_id"), name.alias("name"), F.posexplode(F.array(*map(F.lit, _ASKED_OF))).alias("i", "t"))
     return _plans(asked.select("conv_id", (F.col("i") + 1).cast("long").alias("turn"), F.replace("t", F.lit("@"), F.col("name")).alias("text")))
 

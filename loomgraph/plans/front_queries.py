@@ -133,14 +133,41 @@ def node_lookup(spark, d):
     return lookup.find_nodes(nodes, "Red Widget").select("id", "name")
 
 
+_SIMPLE = "simple as (select 'endpoint::n::' || m || '::/api/nation/' || n_nationkey || '/{id}' as id, m as method, '/api/nation/' || n_nationkey || '/{id}' as path from nation, (select unnest(['GET', 'POST']) as m))"
+
+
+@query(f"with {_SIMPLE} select id, method, path from simple where method = 'GET' and path = '/api/nation/7/{{id}}'")
+def endpoint_exact(spark, d):
+    """The first tier: a method and a path, whose variables may have other names."""
+    n = table(spark, d, "nation").select(F.explode(F.array(F.lit("GET"), F.lit("POST"))).alias("method"), F.format_string("/api/nation/%d/{id}", "n_nationkey").alias("path"))
+    return lookup.find_endpoints(n.select(F.concat_ws("::", F.lit("endpoint"), F.lit("n"), "method", "path").alias("id"), "method", "path"), "get /api/nation/7/{key}/")
+
+
+@query(f"with {_NODES} select id, name from nodes where lower(name) = 'middle east'")
+def node_exact(spark, d):
+    """The first tier: equal names in any case."""
+    nodes = graph.relational_graph(spark, d)[0].select("id", "name", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("path"))
+    return lookup.find_nodes(nodes, " Middle EAST ").select("id", "name")
+
+
+@query("select distinct 'kafka_topic::' || event_type || '-' || (event_id % 50) as id, event_type || '-' || (event_id % 50) as name from events where contains('user-' || user_id, 'user-7')")
+def topics_of_project(spark, d):
+    """The second tier: no topic has the name, so those of projects that do."""
+    return lookup.find_topics(*_topic_graph(spark, d), "User-7")
+
+
 @query("select distinct 'kafka_topic::' || event_type || '-' || (event_id % 50) as id, event_type || '-' || (event_id % 50) as name from events where contains(event_type || '-' || (event_id % 50), 'click-1') or contains('click-1', event_type || '-' || (event_id % 50))")
 def topic_lookup(spark, d):
+    return lookup.find_topics(*_topic_graph(spark, d), "CLICK-1")
+
+
+def _topic_graph(spark, d):
     name = F.format_string("%s-%d", "event_type", F.col("event_id") % 50)
     e = table(spark, d, "events").select(name.alias("name"), F.format_string("user-%d", "user_id").alias("project"))
     topics = e.select(F.concat(F.lit("kafka_topic::"), "name").alias("id"), F.lit("kafka_topic").alias("type"), F.lit(None).cast("string").alias("project"), "name").distinct()
     users = e.select(F.concat(F.lit("bean::"), "project").alias("id"), F.lit("spring_service").alias("type"), "project", F.col("project").alias("name")).distinct()
     sent = e.select(F.concat(F.lit("bean::"), "project").alias("src"), F.concat(F.lit("kafka_topic::"), "name").alias("dst"), F.lit("produces_event").alias("type")).distinct()
-    return lookup.find_topics(topics.unionByName(users), sent, "CLICK-1")
+    return topics.unionByName(users), sent
 
 
 _ASKED = "the example net feature"
@@ -204,11 +231,6 @@ def search_context(spark, d):
     return search.context(search.search(v, texts, probe, "license word stble thought"))
 
 
-@query("""with h as (select lang, unnest(list_distinct(regexp_extract_all(text, '([A-Z][a-z]+(?:[A-Z][a-z]+)+)', 1))) as name from documents) select name, count(*) as n from h group by 1""")
-def hop_names(spark, d):
-    return search.hop_names(table(spark, d, "documents").select(F.col("text").alias("content")), None).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""with n as (select {_SLUG_SQL.format('n_name')} as project, n_nationkey as k from nation) select 'JWT' as type, (select project from n where k % 4 = 1 order by k limit 1) as token_issuer,
  (select string_agg(project, ',' order by project) from n where k % 3 = 0) as validated_by, 'HttpAuthInterceptor' as fe_interceptor""")
 def auth_flow(spark, d):

@@ -10,9 +10,9 @@ from ..session import table
 from . import sources
 from .catalogue import _SLUG_SQL, query
 
-_NAME = "upper({0}[1]) || replace(lower({0})[2:], ' ', '') || 'Service'"
+_NAME = f"{sources.NATION_NAME} || 'Service'"
 _FAR = "round(1 - list_cosine_similarity(e.embedding::double[], p.probe::double[]), 6)"
-_TEXTS = f"""nat as (select n_nationkey as k, {_NAME.format('n_name')} as name, {_SLUG_SQL.format('n_name')} as project from nation),
+_TEXTS = f"""nat as (select n_nationkey as k, {_NAME} as name, {_SLUG_SQL.format('n_name')} as project from nation),
  texts as (select vec_id, a.project, 'calls ' || a.name || ' and ' || b.name || ' for item ' || vec_id as content, ['digest', 'graph', 'code'][vec_id % 3 + 1] as source, ['endpoint', 'bean', 'entity', 'java'][vec_id % 4 + 1] as type
   from embeddings join nat a on a.k = (vec_id * 7) % 25 join nat b on b.k = (vec_id * 3 + 1) % 25),
  questions as (select vec_id as question_id, 'what does ' || lower(name) || ' call for item ' || vec_id as question, embedding as probe, case when vec_id % 40 = 0 then project end as project from embeddings join nat on k = vec_id % 25 where vec_id % 20 = 0)"""
@@ -26,7 +26,7 @@ def _parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Vectors, what they stand for, questions, and nations as names."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     n = table(spark, d, "nation")
-    pascal = F.concat(F.upper(F.substring("n_name", 1, 1)), F.replace(F.lower(F.substring("n_name", 2, 99)), F.lit(" "), F.lit("")), F.lit("Service"))
+    pascal = F.concat(sources.nation_name(), F.lit("Service"))
     nat = n.select(F.col("n_nationkey").cast("long").alias("k"), pascal.alias("name"), sources._slug("n_name").alias("project"))
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("vec_id") % len(values) + 1).cast("int"))
     a, b = nat.select(F.col("k").alias("ka"), F.col("name").alias("na"), "project"), nat.select(F.col("k").alias("kb"), F.col("name").alias("nb"))
@@ -60,3 +60,9 @@ def deep_search(spark, d):
     probes = questions.select("question_id", F.explode(F.sequence("question_id", F.col("question_id") + 9)).alias("variant")).join(v.select(F.col("vec_id").alias("variant"), F.col("embedding").alias("probe")), "variant")
     names = nat.join(v, F.col("k") + 100 == F.col("vec_id")).select("name", F.col("embedding").alias("probe"))
     return search.deep_search(v, texts, questions, probes, names).select("question_id", "i", "vec_id", "score", "distance")
+
+
+@query(f"""with {_TEXTS} select name, count(*) as n from (select unnest(list_distinct(regexp_extract_all(content, '([A-Z][a-z]+(?:[A-Z][a-z]+)+)', 1))) as name from texts) group by name""")
+def hop_names(spark, d):
+    """Names to follow in all contents, and in how many they are."""
+    return search.hop_names(_parts(spark, d)[1], None).groupBy("name").agg(F.count(F.lit(1)).alias("n"))

@@ -16,6 +16,17 @@ def _slug(c: str):
     return F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "-"))
 
 
+#: Digits as words: names of letters only, for keys.
+DIGITS = ["Zero", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine"]
+NATION_NAME = f"('Nation' || {DIGITS}[(n_nationkey // 10 + 1)::int] || {DIGITS}[(n_nationkey % 10 + 1)::int])"
+
+
+def nation_name(key: str = "n_nationkey"):
+    """`NationOneFour` for 14; NATION_NAME is the same in SQL."""
+    word = lambda c: F.element_at(F.array(*map(F.lit, DIGITS)), (c + 1).cast("int"))
+    return F.concat(F.lit("Nation"), word(F.expr(f"{key} div 10")), word(F.col(key) % 10))
+
+
 def _joined(piece, order: str):
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), piece.alias("x")))), lambda s: s["x"]), "")
 

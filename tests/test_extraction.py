@@ -138,3 +138,30 @@ def test_empty_tree(tree):
     m = X.java_members(s)
     for out in [X.endpoints(m), X.beans(m), X.method_calls(s, m), X.entities(m), messaging.topics(s, m, tree[3]), X.components(files), X.http_calls(files), X.migrations(files)]:
         assert out.where(F.lit(True)).count() == 0
+
+
+def test_derived_queries_and_criteria(spark):
+    want = {
+        "findAllByActiveTrue": "SELECT ALL WHERE active = true", "findFirstByName": "SELECT FIRST WHERE name = ?", "findTopByAgeLessThanOrNameIsNull": "SELECT TOP WHERE age < ? OR name IS NULL", "countByIdIn": "COUNT WHERE id IN (?)",
+        "existsByOpenFalse": "EXISTS WHERE open = false", "streamByKind": "STREAM WHERE kind = ?", "findById": "SELECT WHERE id = ?", "other": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "n string").select("n", X.derived_query(F.col("n")).alias("q"))
+    assert {r["n"]: r["q"] for r in df.collect()} == want
+    text = """@Repository
+public class Store {
+  public List<Item> some(String a) { return mongoTemplate.find(new Query(Criteria.where("kind").is(a).and("size").gt(1)), Item.class); }
+  public void none() { mongoTemplate.remove(x); }
+  public void drop() { if (a) { reactiveMongoTemplate.updateMulti(query(Criteria.where("id").is(1)), u); } }
+}
+"""
+    s = X.java_statements(spark.createDataFrame([("p", "Store.java", text)], "project string, path string, text string"))
+    assert {tuple(r)[1:] for r in X.criteria_queries(s, X.java_members(s)).collect()} == {("Store", "some", "[mongoTemplate.find] Item WHERE kind = ? AND size = ?"), ("Store", "drop", "[mongoTemplate.updateMulti] ? WHERE id = ?")}
+
+
+def test_handlers_in_their_tiers(spark):
+    from loomgraph.operators import codegraph
+
+    ends = [("a", c, "GET", f"/{c}") for c in ("OneController", "TwoController", "ThreeController", "FourController", "Controller")]
+    beans = [("a", "OneService"), ("b", "OneService"), ("c", "TwoService"), ("b", "TwoService"), ("z", "ThreeServiceImpl"), ("y", "ThreeRepo"), ("a", "FourController"), ("b", "FourController"), ("a", "ThreeController")]
+    got = codegraph.handled_by(spark.createDataFrame(ends, "project string, controller string, method string, path string"), spark.createDataFrame(beans, "project string, name string"))
+    assert {(r["src"].split("/")[1], r["dst"]) for r in got.collect()} == {("OneController", "bean::a::OneService"), ("TwoController", "bean::b::TwoService"), ("ThreeController", "bean::y::ThreeRepo"), ("FourController", "bean::a::FourController")}
