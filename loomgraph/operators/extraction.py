@@ -16,6 +16,7 @@ from ..functions import text as T
 
 # Annotations, types and words that results depend on.
 BEAN_TYPES = {"RestController": "controller", "Controller": "controller", "Service": "service", "Repository": "repository", "Component": "component", "Configuration": "configuration", "ControllerAdvice": "advice", "RestControllerAdvice": "advice"}
+URL_ENDINGS = ["url", "host", "base", "uri", "endpoint", "baseurl"]
 DTO_TOKENS = "DTO|Dto|Request|Response|Payload"
 VALIDATIONS = ["NotNull", "NotEmpty", "NotBlank", "Size", "Min", "Max", "Email", "Pattern", "Positive", "Valid"]
 RELATIONS = "OneToMany|ManyToOne|OneToOne|ManyToMany|DBRef"
@@ -191,21 +192,28 @@ def dto_fields(members: DataFrame) -> DataFrame:
 def client_calls(members: DataFrame, settings: DataFrame) -> DataFrame:
     """Calls of declarative HTTP clients; `${key}` in url is looked up in settings(project, key, value).
 
-    project, client, target (host of the URL's first label, else the client's name), property_key, method, path, request_dto, response_dto.
+    project, client, target (host of the URL's first label, else what the key says, else the client's name), property_key, method,
+    path, request_dto, response_dto, path_params, request_params, oauth_scope (its setting, else as it is written), url.
     """
     verb = F.regexp_extract("stmt", r"@(Get|Post|Put|Delete|Patch|Request)Mapping\b", 1)
     m = members.where("what = 'method' and kind = 'interface'").where(F.rlike("head", F.lit(r"@FeignClient\b"))).withColumn("verb", verb).where("verb <> ''")
     given = _args(F.col("head"), "FeignClient")
     m = m.withColumn("client", F.coalesce(_quoted(given, "name", "value", "contextId"), F.col("cls"))).withColumn("url", _get(given, r"\burl\s*=\s*\"([^\"]*)\"")).withColumn("property_key", _get(F.col("url"), r"\$\{([^}:]+)"))
     m = m.join(settings.select("project", F.col("key").alias("property_key"), F.col("value").alias("found")), ["project", "property_key"], "left")
+    asked = _get(F.coalesce(_args(F.col("head"), "AuthorizationToken"), _args(F.col("stmt"), "AuthorizationToken")), r"\bscope\s*=\s*\"([^\"]+)\"")
+    m = m.withColumn("scope", asked).join(settings.select("project", F.col("key").alias("scope"), F.col("value").alias("scoped")), ["project", "scope"], "left")
     host = _get(F.coalesce("found", "url"), r"^https?://([\w-]+)")
+    parts = F.split(F.rtrim("property_key", F.lit(".")), r"\.")
+    tail = F.lower(F.element_at(parts, -1)).isin(URL_ENDINGS) & (F.size(parts) > 1)
+    told = F.when(F.col("found").isNull() & F.col("property_key").isNotNull(), F.array_join(F.when(tail, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts), "-"))
+    given_names = lambda mark: _all(F.col("stmt"), rf"@{mark}(?:\([^)]*\))?\s+(?:final\s+)?[\w<>\[\]., ]+?\s+(\w+)\s*[,)]")
     args = _args(F.col("stmt"), r"(?:Get|Post|Put|Delete|Patch|Request)Mapping")
     base = F.coalesce(_get(given, r"\bpath\s*=\s*\"([^\"]*)\""), F.lit(""))
     path = F.regexp_replace(F.concat(F.lit("/"), T.join_paths(base, F.coalesce(_quoted(args, "path", "value"), F.lit("")))), "/{2,}", "/")
     by_name = F.coalesce(_get(args, r"RequestMethod\.(\w+)"), F.lit("GET"))
     answer = T.unwrap_generic(F.regexp_replace("type", r"\s", ""))
     body = _get(F.col("stmt"), r"@RequestBody\s+(?:@\w+\s+)*([\w<>]+)")
-    return m.select("project", "client", F.coalesce(host, "client").alias("target"), "property_key", F.when(F.col("verb") == "Request", by_name).otherwise(F.upper("verb")).alias("method"), path.alias("path"), body.alias("request_dto"), F.when(answer != "void", answer).alias("response_dto"))
+    return m.select("project", "client", F.coalesce(host, told, "client").alias("target"), "property_key", F.when(F.col("verb") == "Request", by_name).otherwise(F.upper("verb")).alias("method"), path.alias("path"), body.alias("request_dto"), F.when(answer != "void", answer).alias("response_dto"), given_names("PathVariable").alias("path_params"), given_names("RequestParam").alias("request_params"), F.coalesce("scoped", "scope").alias("oauth_scope"), F.coalesce("found", "url").alias("url"))
 
 
 def derived_query(name: Column) -> Column:

@@ -131,10 +131,16 @@ def dto_schema(fields: DataFrame, calls: DataFrame) -> DataFrame:
     return _rows(each, "dto_schema", "dto", _text(F.format_string("DTO %s [%s]", "dto", "project"), "fields:", F.col("fields"), _some("Used in Feign calls: ", F.col("calls"))))
 
 
-def component(components: DataFrame) -> DataFrame:
+def component(components: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    """components, and component_methods if their methods and calls are to be told."""
+    if methods is not None:
+        m = methods.groupBy("project", "path").agg(F.array_sort(F.collect_set("method")).alias("methods"))
+        graph = _lines(["project", "path"], methods.where("size(calls) > 0"), F.col("method"), F.format_string("  %s() → %s", "method", F.array_join("calls", ", ")), "graph", 10)
+        components = components.join(m, ["project", "path"], "left").join(graph, ["project", "path"], "left")
+    told = [] if methods is None else [F.concat(F.lit("methods="), listed(F.col("methods"))), _some("method_call_graph:\n", F.col("graph"))]
     text = _text(
         F.concat(F.lit("Component "), "name", F.lit(" selector="), F.coalesce("selector", F.lit("")), F.lit(" file="), "path"), F.concat(F.lit("inputs="), listed(F.col("inputs")), F.lit(" outputs="), listed(F.col("outputs"))),
-        F.concat(F.lit("services="), listed(F.col("injected"))), _some("template_events=", listed(F.col("template_events")), F.size("template_events") > 0), _some("view_children=", listed(F.col("view_children")), F.size("view_children") > 0),
+        F.concat(F.lit("services="), listed(F.col("injected"))), _some("template_events=", listed(F.col("template_events")), F.size("template_events") > 0), _some("view_children=", listed(F.col("view_children")), F.size("view_children") > 0), *told,
     )
     return _rows(components, "component", "name", text)
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .extraction import _all, _get, _of, environments, script_calls
+from .pieces import method_texts
 
 # What stands before a slug, marks of interceptors, and keys of environments that are kept.
 SLUG_ROOT = "v1/"
 MARKS = {"JWTHeaderInjectionDetected": "Authorization|Bearer", "TokenRefreshDetected": r"(?is)refresh.*token|token.*refresh"}
+LIFE_CYCLE = ["ngOnInit", "ngOnDestroy", "ngOnChanges", "ngAfterViewInit", "ngAfterContentInit", "ngAfterViewChecked", "ngAfterContentChecked", "ngDoCheck", "constructor"]
 ENVIRONMENT_KEYS = ["apiUrl", "baseUrl", "apiBaseUrl", "backendUrl", "serverUrl"]
 
 
@@ -48,6 +50,17 @@ def ancestors_with(starts: DataFrame, classes: DataFrame, wanted: DataFrame) ->
     return reduce(DataFrame.unionByName, found) if found else front.select("project", "path", F.lit("").alias("found"))
 
 
+def component_methods(files: DataFrame) -> DataFrame:
+    """project, path, component, method, calls: methods of components but those of their life cycle, in order of name, with the
+    distinct `field.call()` of their bodies."""
+    c = _of(files, r"\.component\.ts$").where("project is not null").select(F.to_json(F.struct("project", "path")).alias("k"), F.concat(F.to_json(F.struct("project", "path")), F.lit(".ts")).alias("path"), "text")
+    found = method_texts(c.select("path", "text")).where(~F.col("method_name").isin(LIFE_CYCLE) & F.rlike("method_name", F.lit("^[^A-Z]")))
+    calls = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"this\.(\w+\.\w+)\s*\("), F.lit(1)), lambda x: F.concat(x, F.lit("()")))))
+    place = F.from_json(F.regexp_replace("path", r"\.ts$", ""), "project string, path string")
+    each = found.select(place.alias("p"), F.col("class_name").alias("component"), F.col("method_name").alias("method"), calls.alias("calls"))
+    return each.groupBy("p.project", "p.path", "component", "method").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("calls")))).alias("calls"))
+
+
 def _methods(text: Column) -> Column:
     """Methods that a service passes to its parent's calls; GET if it passes none."""
     said = F.transform(_all(text, r"\b(?:super|this)\.\w+\([^()]*?\bmethod\s*:\s*(?:\w+\.)*(\w+)"), F.upper)

@@ -114,7 +114,7 @@ def test_data_types_and_queries(tree):
 
 def test_clients_topics_and_security(tree):
     f, s, m, settings = tree
-    assert {tuple(r)[1:] for r in X.client_calls(m, settings).collect()} == {("stock", "stock-svc", "stock.url", "GET", "/v1/items/{id}", None, "ItemDto"), ("stock", "stock-svc", "stock.url", "POST", "/v1/items", "ItemRequest", None)}
+    assert {tuple(r)[1:8] for r in X.client_calls(m, settings).collect()} == {("stock", "stock-svc", "stock.url", "GET", "/v1/items/{id}", None, "ItemDto"), ("stock", "stock-svc", "stock.url", "POST", "/v1/items", "ItemRequest", None)}
     assert {tuple(r)[1:] for r in messaging.topics(s, m, settings).collect()} == {("arrivals", "consumer", "in.topic", "g1", None), ("raw", "both", None, "g1", None), ("parcel-done", "producer", None, None, None)}
     r = X.security_facts(f).where("project = 'post'").first()
     assert r.web_security and not r.jwt and r.open_paths == ["/h", "/open/**"] and r.closed_paths == ["/in"]
@@ -165,3 +165,41 @@ def test_handlers_in_their_tiers(spark):
     beans = [("a", "OneService"), ("b", "OneService"), ("c", "TwoService"), ("b", "TwoService"), ("z", "ThreeServiceImpl"), ("y", "ThreeRepo"), ("a", "FourController"), ("b", "FourController"), ("a", "ThreeController")]
     got = codegraph.handled_by(spark.createDataFrame(ends, "project string, controller string, method string, path string"), spark.createDataFrame(beans, "project string, name string"))
     assert {(r["src"].split("/")[1], r["dst"]) for r in got.collect()} == {("OneController", "bean::a::OneService"), ("TwoController", "bean::b::TwoService"), ("ThreeController", "bean::y::ThreeRepo"), ("FourController", "bean::a::FourController")}
+
+
+def test_client_parameters(spark):
+    text = """@FeignClient(name = "c", url = "${stock.api.url}")
+@AuthorizationToken(scope = "scope.key", clientId = "x")
+public interface C {
+  @GetMapping("/a/{id}")
+  List<Item> a(@PathVariable("id") Long id, @RequestParam(value = "q", required = false) String query, @RequestParam int page);
+  @AuthorizationToken(scope = "plain")
+  @PutMapping("/b") void b(@RequestBody Body body);
+}
+"""
+    files = spark.createDataFrame([("p", "C.java", text)], "project string, path string, text string")
+    settings = spark.createDataFrame([("p", "scope.key", "read:all")], "project string, key string, value string")
+    got = {r["path"]: (r["target"], r["path_params"], r["request_params"], r["oauth_scope"], r["url"]) for r in X.client_calls(X.java_members(X.java_statements(files)), settings).collect()}
+    assert got == {"/a/{id}": ("stock-api", ["id"], ["query", "page"], "read:all", "${stock.api.url}"), "/b": ("stock-api", [], [], "read:all", "${stock.api.url}")}
+
+
+def test_component_methods(spark):
+    from loomgraph.operators import fact_chunks, frontend
+
+    text = """@Component({ selector: 'x' })
+export class AComponent {
+  constructor(private s: S) { this.s.init(); }
+  ngOnInit() { this.s.start(); }
+  save(x: number): void {
+    if (x) { this.s.put(x); }
+    this.bus.emit(1); this.s.put(2);
+  }
+  plain() { return 1; }
+}
+"""
+    files = spark.createDataFrame([("p", "a.component.ts", text), ("q", "a.component.ts", text.replace("save", "keep")), ("p", "b.service.ts", text)], "project string, path string, text string")
+    methods = frontend.component_methods(files)
+    got = {(r["project"], r["path"], r["component"], r["method"]): r["calls"] for r in methods.collect()}
+    assert got == {("p", "a.component.ts", "AComponent", "save"): ["bus.emit()", "s.put()"], ("p", "a.component.ts", "AComponent", "plain"): [], ("q", "a.component.ts", "AComponent", "keep"): ["bus.emit()", "s.put()"], ("q", "a.component.ts", "AComponent", "plain"): []}
+    told = {r["project"]: r["content"] for r in fact_chunks.component(X.components(files), methods).collect()}
+    assert told["p"].endswith("methods=['plain', 'save']\nmethod_call_graph:\n  save() → bus.emit(), s.put()")
