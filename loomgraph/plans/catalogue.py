@@ -542,11 +542,14 @@ def code_handled_by(spark, d):
     return codegraph.handled_by(extraction.endpoints(c), extraction.beans(c)).select("src", "dst")
 
 
-@query(f"""select {_SLUG_SQL.format('n_name')} as project, 'region-' || n_regionkey as targets from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by all""")
+@query(f"""with {_TOPICS}, heard as (select project, topic from topics where role <> 'producer'), said as (select project as target, topic from topics where role <> 'consumer')
+ select {_SLUG_SQL.format('n_name')} as project, 'region-' || n_regionkey as targets from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by all
+ union all select project, string_agg(distinct target, ',' order by target) from heard join said using (topic) where project <> target group by project""")
 def code_service_dependencies(spark, d):
+    """Targets of clients, and who sends the topics that a project listens to."""
     calls = extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d))
-    none = _topics(spark, d).limit(0)
-    return codegraph.service_dependencies(calls, none).select("project", F.array_join("targets", ",").alias("targets"))
+    return codegraph.service_dependencies(calls, _topics(spark, d)).select("project", F.array_join("targets", ",").alias("targets"))
+
 
 
 def queries() -> dict[str, Query]:
