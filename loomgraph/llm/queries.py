@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 from .decontamination import contamination
 from .katz import katz_scores
 from .language import identify_language
 from .linededup import dedup_lines
 from .merkle import manifest
-from .merkle_sql import SQL as MANIFEST_SQL
 from .neardup import near_duplicates
 from .neighbours import nearest
 from .packing import pack_documents
@@ -91,4 +91,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_merkle_manifest": MANIFEST_SQL}
+    return {"op1_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op2_benchmark_decontamination": oracles.CONTAMINATION, "op10_block_matrix_neighbours": oracles.NEIGHBOURS, "op13_merkle_manifest": oracles.MANIFEST}
