@@ -441,6 +441,11 @@ def _java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return statements, materialize(extraction.java_members(statements))
 
 
+def _members(files: DataFrame) -> DataFrame:
+    """Members alone; statements are not kept."""
+    return materialize(extraction.java_members(extraction.java_statements(files)))
+
+
 _SLUG_SQL = "lower(regexp_replace({}, '[^A-Za-z0-9]+', '-', 'g'))"
 _ENDPOINTS = f"""endpoints as (select {_SLUG_SQL.format('c_mktsegment')} as project, '/api/' || {_SLUG_SQL.format('c_mktsegment')} || '/' || c_custkey || '/orders/' || o_orderkey || '/{{id}}' as path,
  case when o_orderpriority like '1%' then 'POST' else 'GET' end as method, 'Customer' || c_custkey || 'Controller' as controller, 'take' || o_orderkey as handler, 'Order' || o_orderstatus || 'Dto' as response_dto,
@@ -452,14 +457,14 @@ _TOPICS = """topics as (select 'user-' || user_id as project, event_type || '-'
 @query(f"""with {_ENDPOINTS} select * exclude (o_orderkey), case when method = 'POST' then replace(response_dto, 'Dto', 'Request') end as request_dto, case when method = 'POST' then 'CLERK,DESK' else '' end as roles, method = 'POST' as auth_required
  from endpoints""")
 def extract_endpoints(spark, d):
-    out = extraction.endpoints(_java(sources.controllers(spark, d))[1]).drop("file", "no")
+    out = extraction.endpoints(_members(sources.controllers(spark, d))).drop("file", "no")
     return out.withColumn("roles", F.array_join("roles", ","))
 
 
 @query(f"""select {_SLUG_SQL.format('c_mktsegment')} as project, 'Customer' || c_custkey || 'Controller' as name, 'controller' as bean_type, 'CheckService,Nation' || c_nationkey || 'Service' as dependencies, count(*) as n_methods
  from orders join customer on o_custkey = c_custkey group by c_mktsegment, c_custkey, c_nationkey""")
 def extract_beans(spark, d):
-    b = extraction.beans(_java(sources.controllers(spark, d))[1])
+    b = extraction.beans(_members(sources.controllers(spark, d)))
     return b.select("project", "name", "bean_type", F.array_join("dependencies", ",").alias("dependencies"), F.size("methods").cast("long").alias("n_methods"))
 
 
@@ -470,19 +475,19 @@ def extract_method_calls(spark, d):
 
 @query(f"select {_SLUG_SQL.format('p_brand')} as project, 'Part' || p_partkey || 'Request' as name, 't_' || p_size as \"table\", 'key,brand' || p_size as fields, 'ManyToOne -> maker' as relationships from part")
 def extract_entities(spark, d):
-    e = extraction.entities(_java(sources.entities(spark, d))[1])
+    e = extraction.entities(_members(sources.entities(spark, d)))
     return e.select("project", "name", "table", F.array_join("fields", ",").alias("fields"), F.array_join("relationships", ",").alias("relationships"))
 
 
 @query(f"""select {_SLUG_SQL.format('p_brand')} as project, 'Part' || p_partkey || 'Request' as dto, unnest(['key', 'brand' || p_size, 'maker']) as name, unnest(['Long', 'String', 'Maker']) as type, unnest([true, false, false]) as required from part""")
 def extract_dto_fields(spark, d):
-    return extraction.dto_fields(_java(sources.entities(spark, d))[1]).select("project", "dto", "name", "type", "required")
+    return extraction.dto_fields(_members(sources.entities(spark, d))).select("project", "dto", "name", "type", "required")
 
 
 @query(f"""select {_SLUG_SQL.format('n_name')} as project, 's' || s_suppkey as client, 'region-' || n_regionkey as target, 'GET' as method, '/orders/' || l_orderkey || '/{{line}}' as path, 'LineDto' as response_dto
  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey""")
 def extract_client_calls(spark, d):
-    m = _java(sources.clients(spark, d))[1]
+    m = _members(sources.clients(spark, d))
     return extraction.client_calls(m, sources.settings(spark, d)).select("project", "client", "target", "method", "path", "response_dto")
 
 
@@ -510,7 +515,7 @@ def topic_keys(spark, d):
 @query(f"""select {_SLUG_SQL.format('p_brand')} as project, 'Part' || p_partkey || 'Item' as name,
  case when p_partkey % 4 = 0 then 'parts_' || p_size when p_partkey % 4 = 3 then 'Part' || p_partkey || 'Item' when p_size % 2 = 0 then 'p_' || p_size || 'x' else 'p_any' end as collection from part""")
 def stored_collections(spark, d):
-    return messaging.collections(_java(sources.stored_documents(spark, d))[1], sources.size_settings(spark, d))
+    return messaging.collections(_members(sources.stored_documents(spark, d)), sources.size_settings(spark, d))
 
 
 @query("""select 'Supplier' || s_suppkey || 'Service' as service, case s_suppkey % 6 when 0 then 'own' when 1 then 'parent' when 2 then 'override' when 3 then 'slug' else 'literal' end as via,
@@ -531,14 +536,14 @@ def extract_migrations(spark, d):
 @query(f"""with {_ENDPOINTS} select distinct 'bean::' || {_SLUG_SQL.format('n_name')} || '::s' || s_suppkey as src, 'endpoint::' || project || '::GET::' || path as dst, 'GET /orders/' || l_orderkey || '/*' as label
  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join endpoints on o_orderkey = l_orderkey where method = 'GET'""")
 def code_client_edges(spark, d):
-    calls = materialize(extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d)))
-    c = _java(sources.controllers(spark, d))[1]
+    calls = materialize(extraction.client_calls(_members(sources.clients(spark, d)), sources.settings(spark, d)))
+    c = _members(sources.controllers(spark, d))
     return codegraph.client_edges(calls, materialize(extraction.endpoints(c)), materialize(extraction.beans(c))).select("src", "dst", "label")
 
 
 @query(f"with {_ENDPOINTS} select 'endpoint::' || project || '::' || method || '::' || path as src, 'bean::' || project || '::' || controller as dst from endpoints")
 def code_handled_by(spark, d):
-    c = _java(sources.controllers(spark, d))[1]
+    c = _members(sources.controllers(spark, d))
     return codegraph.handled_by(extraction.endpoints(c), extraction.beans(c)).select("src", "dst")
 
 
@@ -547,7 +552,7 @@ def code_handled_by(spark, d):
  union all select project, string_agg(distinct target, ',' order by target) from heard join said using (topic) where project <> target group by project""")
 def code_service_dependencies(spark, d):
     """Targets of clients, and who sends the topics that a project listens to."""
-    calls = extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d))
+    calls = extraction.client_calls(_members(sources.clients(spark, d)), sources.settings(spark, d))
     return codegraph.service_dependencies(calls, _topics(spark, d)).select("project", F.array_join("targets", ",").alias("targets"))
 
 

@@ -9,7 +9,7 @@ from ..operators import chunking, codegraph, extraction, fact_chunks, features,
 from ..session import materialize, table
 from . import front_queries as front
 from . import sources
-from .catalogue import _ENDPOINTS, _SLUG_SQL, _java, query
+from .catalogue import _ENDPOINTS, _SLUG_SQL, _java, _members, query
 
 _NL = "chr(10)"
 
@@ -27,7 +27,7 @@ _HANDLERS = f"h as (select {_SEGMENT} as project, c_custkey, c_nationkey, 'Custo
  || 'request=' || case when method = 'POST' then replace(response_dto, 'Dto', 'Request') else 'None' end || ' response=' || response_dto || {_NL}
  || case when method = 'POST' then 'auth=True roles=[''CLERK'', ''DESK'']' else 'auth=False roles=[]' end || {_NL} || 'doc=' || javadoc as content from endpoints""")
 def endpoint_chunks(spark, d):
-    return fact_chunks.endpoint(extraction.endpoints(_java(sources.controllers(spark, d))[1]))
+    return fact_chunks.endpoint(extraction.endpoints(_members(sources.controllers(spark, d))))
 
 
 @query(f"""with {_HANDLERS}, b as (select project, cls, c_custkey, c_nationkey, list(m order by m) as ms, string_agg('  ' || m || '() → check.pass, orders.find', {_NL} order by m) filter (nth <= 10) as ten, string_agg('  ' || m || '() calls: check.pass, orders.find', {_NL} order by m) as graph from h group by all)
@@ -49,7 +49,7 @@ _REQUEST = "'Part' || p_partkey || 'Request'"
  union all select {_SLUG_SQL.format('p_brand')}, 'dto_schema', {_REQUEST}, 'DTO ' || {_REQUEST} || ' [' || {_SLUG_SQL.format('p_brand')} || ']' || {_NL} || 'fields:' || {_NL} || '  brand' || p_size || ': String' || {_NL} || '  key: Long [required] validations=[''NotNull'']' || {_NL} || '  maker: Maker' || {_NL} || 'Used in Feign calls: parts PUT /' || p_partkey from part""")
 def model_chunks(spark, d):
     """Entities, and transfer objects with the calls that use them."""
-    members = _java(sources.entities(spark, d))[1]
+    members = _members(sources.entities(spark, d))
     calls = table(spark, d, "part").select(sources._slug("p_brand").alias("project"), F.lit("parts").alias("client"), F.lit("PUT").alias("method"), F.format_string("/%d", "p_partkey").alias("path"), F.format_string("Part%dRequest", "p_partkey").alias("request_dto"), F.lit(None).cast("string").alias("response_dto"))
     return fact_chunks.entity(extraction.entities(members)).unionByName(fact_chunks.dto_schema(extraction.dto_fields(members), calls))
 
@@ -58,7 +58,7 @@ def model_chunks(spark, d):
  || string_agg('  GET /orders/' || l_orderkey || '/{{line}}  response=LineDto', {_NL} order by '/orders/' || l_orderkey || '/{{line}}') as content
  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by n_name, n_regionkey, s_suppkey""")
 def client_chunks(spark, d):
-    calls = extraction.client_calls(_java(sources.clients(spark, d))[1], sources.settings(spark, d))
+    calls = extraction.client_calls(_members(sources.clients(spark, d)), sources.settings(spark, d))
     return fact_chunks.feign(calls)
 
 
@@ -80,7 +80,7 @@ _NATION = _SLUG_SQL.format("n_name")
 def other_chunks(spark, d):
     """Handlers, tasks, stores, dependencies, migrations, components, services and contracts."""
     files = materialize(sources.nation_files(spark, d))
-    marks = materialize(extraction.marked_methods(_java(files)[1]))
+    marks = materialize(extraction.marked_methods(_members(files)))
     contracts = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.format_string("web-%d", "c_nationkey").alias("caller"), sources._slug("c_mktsegment").alias("service"), F.format_string("GET /orders/%d", "o_orderkey").alias("endpoint"), F.lit("Orders.load").alias("angular_service"))
     parts = [
         fact_chunks.exception_handler(marks), fact_chunks.scheduled_task(marks), fact_chunks.ngrx(extraction.store_features(files)), fact_chunks.build_deps(extraction.build_dependencies(files)),
