@@ -29,3 +29,27 @@ NEAR_DUPLICATES = f"""with recursive d as (select row_number() over () as r, doc
  ways as (select a, b from links union all select b, a from links), reach(a, b) as (select c, c from classes union select reach.a, ways.b from reach join ways on reach.b = ways.a),
  lowest as (select a as c, min(b) as component_id from reach group by a)
  select doc_id, len(s.s)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id, doc_id = coalesce(component_id, doc_id) as kept from s left join classes on len(s.s) > 0 and classes.s = s.s left join lowest using (c)"""
+
+#: Repeated strings: every 200-byte string by its bytes; covered bytes are the union of repeated ones.
+REPEATS = """with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents), n as (select *, octet_length(b) as n from d),
+ s as (select r, k, hash(b[k:k + 199]) as h, md5(b[k:k + 199]) as m from (select r, b, unnest(range(1, n - 198)) as k from n where n >= 200)),
+ again as (select h, m from s group by h, m having count(*) > 1), hit as (select r, k from s semi join again using (h, m)),
+ mark as (select *, case when k > lag(k) over w + 200 or lag(k) over w is null then 1 else 0 end as fresh from hit window w as (partition by r order by k)),
+ span as (select r, min(k) as a, max(k) + 200 as b from (select *, sum(fresh) over (partition by r order by k rows unbounded preceding) as g from mark) group by r, g),
+ gap as (select r, coalesce(lag(b) over w, 1) as a, a as b from span window w as (partition by r order by a) union all select r, max(b), null from span group by r),
+ kept as (select r, string_agg(hex(n.b[gap.a:coalesce(gap.b, n.n + 1) - 1]), '' order by gap.a) as hex from gap join n using (r) where coalesce(gap.b, n.n + 1) > gap.a group by r),
+ gone as (select r, sum(b - a) as n_removed, count(*) as n_spans from span group by r)
+ select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, case when n_removed is null then sha256(n.b) else sha256(from_hex(coalesce(hex, ''))) end as kept_sha256 from n left join gone using (r) left join kept using (r)"""
+
+#: Similar lines: words by rarity, lines that share one of their rarest are compared whole; the earlier of two stays.
+LINES = f"""with t as (select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null),
+ l as (select r, doc_id, i as no, ls[i] as line, list_distinct(regexp_extract_all(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) as w from t, lateral (select unnest(range(1, len(ls) + 1)) as i)),
+ sets as (select list_sort(w) as w, min((doc_id, no)) as spot, row_number() over () as k from l where len(w) > 0 group by list_sort(w)),
+ each as (select k, len(w) as n, unnest(w) as x from sets), often as (select x, count(*) as c from each group by x),
+ placed as (select k, n, x, row_number() over (partition by k order by c, x) as p from each join often using (x)),
+ rare as (select k, n, x from placed where p <= n - ceil(0.75 * n)::int + 1),
+ near as (select distinct a.k as a, b.k as b from rare a join rare b on a.x = b.x and a.k < b.k and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+ alike as (select case when x.spot > y.spot then a else b end as k from near join sets x on x.k = a join sets y on y.k = b where 100 * len(list_intersect(x.w, y.w)) >= 75 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))),
+ stay as (select spot from sets where k not in (select k from alike)), told as (select r, doc_id, no, line, len(w) > 0 and (doc_id, no) not in (select spot from stay) as gone from l),
+ out as (select r, count(*) filter (gone) as n, coalesce(string_agg(line, chr(10) order by no) filter (not gone), '') as text from told group by r)
+ select d.doc_id, coalesce(out.n, 0)::bigint as n_lines_removed, sha256(coalesce(out.text, '')) as text_sha256 from (select row_number() over () as q, * from documents) d left join (select t.doc_id, t.text as whole, out.n, out.text from t join out using (r)) out on d.doc_id = out.doc_id and d.text = out.whole"""

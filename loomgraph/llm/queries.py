@@ -91,4 +91,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op2_benchmark_decontamination": oracles.CONTAMINATION, "op10_block_matrix_neighbours": oracles.NEIGHBOURS, "op13_merkle_manifest": oracles.MANIFEST}
+    return {"op1_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op2_benchmark_decontamination": oracles.CONTAMINATION, "op5_line_dedup": oracles.LINES, "op8_suffix_array_dedup": oracles.REPEATS, "op10_block_matrix_neighbours": oracles.NEIGHBOURS, "op13_merkle_manifest": oracles.MANIFEST}
