@@ -146,13 +146,13 @@ class Reader:
         if not (" " in token or _ODD.search(token)) or not any(c.isalpha() for c in token):
             return [plain]
         if len(token) > WHOLE:
-            return [plain, *self.channel.divided(token)]
+            return [plain]  # its words are tokens of their own
         return [plain, self.channel.restore(token), self.channel.restore(plain)]
 
     def tokens(self, text: str | None) -> set[str]:
         """The tokens of a text, and the words of those that may hold several."""
         out = tokens(text)
-        for token in [t for t in out if " " in t or _CHAIN.search(t)]:
+        for token in [t for t in out if " " in t or _CHAIN.search(t) or len(t) > WHOLE and _ODD.search(t)]:
             if token not in self.inside:
                 if len(self.inside) > REMEMBERED // 10:
                     self.inside.clear()

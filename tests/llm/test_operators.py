@@ -342,6 +342,8 @@ def test_toxic_words_in_long_runs_and_chains():
         for text in (spaced, "_".join(["you", "stupid", "idiot", "and", "a", "moron"] * n), ".".join("youstupididiotandamoron" * n)):
             assert reader.evidence(text)[1] == 18.0
     assert reader.evidence("you n i t")[0] == 4.0
+    # a long token without marks is read too, and once
+    assert Reader(counts, {"idi*": 6.0}).evidence("1d10t" + "youand" * 12)[:2] == [6.0, 6.0]
 
 
 def test_neighbours(spark):
