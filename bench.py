@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from loomgraph.plans import catalogue
 
-HEADLINE = ["impact_report", "bfs_backward", "find_callers", "node_chunks", "shared_lines", "chunk_chars", "chunk_tokens", "contract_substring_join", "suffix_join", "knn_cosine", "hybrid_rerank", "segment_dedup", "debounce_sessions", "rule_plans", "service_dependencies", "pricing_summary", "extract_beans", "extract_entities", "extract_topics", "extract_client_calls", "code_handled_by", "code_service_dependencies", "code_client_edges", "frontend_edges", "describe_feature", "semantic_chunks"]
+HEADLINE = ["impact_report", "bfs_backward", "find_callers", "node_chunks", "shared_lines", "chunk_chars", "chunk_tokens", "contract_substring_join", "suffix_join", "knn_cosine", "hybrid_rerank", "segment_dedup", "debounce_sessions", "rule_plans", "service_dependencies", "pricing_summary", "extract_beans", "extract_entities", "extract_topics", "extract_client_calls", "code_handled_by", "code_service_dependencies", "code_client_edges", "frontend_edges", "describe_feature", "semantic_chunks", "session_lives", "reindex_pieces", "deep_search"]
 
 
 def main() -> None:
